@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm import encoding, repeated
+from loomdoc.llm import conversations, encoding, language, repeated
 from loomdoc.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.rebuild_conversations(table(spark, sf_dir, "session_log")).where("session_id is not null").select("session_id", "message_no", "speaker", "log_id")
+
+
+def p3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per sound conversation, those rebuilt from links included."""
+    said = conversations.rebuild_conversations(table(spark, sf_dir, "session_log"))
+    return said.groupBy("conversation").agg(F.count("*").alias("messages"), F.countDistinct("log_id").alias("log_rows"), F.max(F.length("text")).alias("longest"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.repair_encoding(table(spark, sf_dir, "chunks"), "chunk_id", "page_content").select("chunk_id", "restored_md5")
 
@@ -25,6 +35,24 @@ def p5_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated.without_repeated_lines(table(spark, sf_dir, "chunks"), "chunk_id", "source", "page_content")
 
 
+def _sample(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
+    return language.labelled_sample(table(spark, sf_dir, "kpi_test_questions"), "question_id", "question", "language")
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = table(spark, sf_dir, "query_log").select(F.col("id").alias("record_id"), F.col("query").alias("text"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("labelled"))
+    questions = table(spark, sf_dir, "kpi_test_questions").select(F.concat(F.lit("q"), F.col("question_id").cast("string")).alias("record_id"), F.col("question").alias("text"), F.col("language").alias("label"), F.lit(True).alias("labelled"))
+    return language.label_languages(logs.unionByName(questions), _sample(spark, sf_dir))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).select("record_id", "segment_no", "language")
+
+
+def p6_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).select("record_id", "segment_no", "language", "confidence")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
