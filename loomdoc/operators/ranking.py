@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdoc.session import tasks
+from loomdoc.session import cut, tasks
 
 
 def spread_positions(df: DataFrame, keys: list[str], order: list[Column], out: str = "position", partitions: int | None = None) -> DataFrame:
@@ -14,10 +14,11 @@ def spread_positions(df: DataFrame, keys: list[str], order: list[Column], out: s
     A range shuffle on keys and order cuts large groups into several ranges, so that a group that
     holds a third of all rows is ranked by many tasks. Rows are ranked inside a range, then moved on
     by the rows of the group in earlier ranges: one small row per group and range.
+    The cut is checkpointed: range bounds are sampled, so that a second reading could cut elsewhere.
     ``order`` must end in a unique key. Null keys form a group; an empty table stays empty.
     """
     n = partitions or tasks(df.sparkSession)
-    ranged = df.repartitionByRange(n, *[F.col(k).asc() for k in keys], *order).withColumn("_range", F.spark_partition_id())
+    ranged = cut(df.repartitionByRange(n, *[F.col(k).asc() for k in keys], *order).withColumn("_range", F.spark_partition_id()))
     inside = Window.partitionBy(*keys, "_range").orderBy(*order)
     ranked = ranged.withColumn("_inside", F.row_number().over(inside))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
