@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomdoc.session import cut
+
 #: Month names that dates are written with.
 MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?|जनवरी|फरवरी|फ़रवरी|मार्च|अप्रैल|मई|जून|जुलाई|अगस्त|सितंबर|सितम्बर|अक्टूबर|अक्तूबर|नवंबर|नवम्बर|दिसंबर|दिसम्बर"
 _NUMBER = re.compile(r"[0-9०-९]+(?:[-/.:,][0-9०-९]+)*(?: ?[ap]\.?m\b\.?)?")
@@ -91,7 +93,7 @@ def repeated_lines(df: DataFrame, key: str, source: str, content: str, share: fl
         .join(totals, "_source").where("_n >= _need").select(*leaf, "_need")
     )
     lines = base.mapInPandas(_parse, f"_key {kind}, _source string, _no int, _size int, _first string, _plain string, _marks string")
-    kept = lines.join(leaves, leaf).dropDuplicates(["_key", "_no"]).withColumn("_line", F.xxhash64(*leaf, "_plain"))
+    kept = cut(lines.join(leaves, leaf).dropDuplicates(["_key", "_no"]).withColumn("_line", F.xxhash64(*leaf, "_plain")))
     # merged trees: per leaf and position the tokens with their counts, and how often they start with a capital
     counted = kept.groupBy(*leaf, "_line", "_plain", "_marks").agg(F.count("*").alias("_n"))
     tokens = counted.select(*leaf, "_n", "_line", F.posexplode(F.split("_plain", " ")).alias("_pos", "_token"), "_marks").withColumn("_capital", F.substring("_marks", F.col("_pos") + 1, F.lit(1)).cast("int"))
