@@ -81,17 +81,20 @@ class NaiveBayes:
             total = math.log(sum(c.values()) + 0.1 * (len(vocabulary) + 1))
             column = np.array([c[g] for g in vocabulary] + [0], dtype=np.float64)
             self.table[:, j] = np.log(column + 0.1) - total
+        self.posterior = lru_cache(maxsize=100_000)(self._posterior)
 
     def grams(self, text: str) -> list[str]:
         t = f" {text} "
         return [t[i : i + n] for n in self.sizes for i in range(len(t) - n + 1)]
 
-    def posterior(self, text: str) -> dict[str, float]:
+    def _posterior(self, text: str) -> dict[str, float]:
         """Posterior of each language that the script allows; tempered, since the n-grams overlap."""
         allowed = script_languages(text)
         t = plain(text)
         if not t:
             return {}
+        if len(allowed) == 1:
+            return {allowed[0]: 1.0}
         missing = len(self.index)
         ids = [self.index.get(g, missing) for g in self.grams(t)]
         score = self.table[ids].sum(axis=0)[[LANGUAGES.index(x) for x in allowed]] / len(self.sizes)

@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm import conversations, encoding, language, repeated
+from loomdoc.llm import conversations, encoding, language, pairs, repeated
 from loomdoc.session import table
 
 
+def _sample(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
+    return language.labelled_sample(table(spark, sf_dir, "kpi_test_questions"), "question_id", "question", "language")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.broken_pairs(table(spark, sf_dir, "query_log"), _sample(spark, sf_dir)).select("id", "defect")
+
+
+def p1_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.broken_pairs(table(spark, sf_dir, "query_log"), _sample(spark, sf_dir)).groupBy("defect", "feedback").agg(F.count("*").alias("pairs"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild_conversations(table(spark, sf_dir, "session_log")).where("session_id is not null").select("session_id", "message_no", "speaker", "log_id")
 
@@ -35,10 +47,6 @@ def p5_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated.without_repeated_lines(table(spark, sf_dir, "chunks"), "chunk_id", "source", "page_content")
 
 
-def _sample(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
-    return language.labelled_sample(table(spark, sf_dir, "kpi_test_questions"), "question_id", "question", "language")
-
-
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = table(spark, sf_dir, "query_log").select(F.col("id").alias("record_id"), F.col("query").alias("text"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("labelled"))
     questions = table(spark, sf_dir, "kpi_test_questions").select(F.concat(F.lit("q"), F.col("question_id").cast("string")).alias("record_id"), F.col("question").alias("text"), F.col("language").alias("label"), F.lit(True).alias("labelled"))
