@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm import conversations, encoding, language, pairs, repeated
+from loomdoc.llm import conversations, encoding, language, pairs, personal, repeated
 from loomdoc.session import table
 
 
@@ -61,6 +61,14 @@ def p6_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir).select("record_id", "segment_no", "language", "confidence")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_items(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redact(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
