@@ -27,7 +27,7 @@ LABELS = {
     "fr": "fr", "fra": "fr", "fre": "fr", "french": "fr", "français": "fr", "francais": "fr",
 }
 #: Labelled rows per language that the models are fitted on.
-SAMPLE_ROWS = 500
+SAMPLE_ROWS = 1500
 #: Words after whose full stop a sentence goes on.
 _ABBREVIATIONS = {"rs", "no", "nos", "m/s", "mr", "mrs", "ms", "dr", "smt", "shri", "sh", "km", "pg", "p", "viz", "e.g", "i.e", "रु", "क्र", "सं", "डॉ", "art", "st", "sec", "cl", "q", "a", "ans"}
 _BENGALI, _DEVANAGARI = re.compile("[ঀ-৿]"), re.compile("[ऀ-ॿ]")
@@ -67,37 +67,63 @@ def script_languages(text: str) -> tuple[str, ...]:
     return ("en", "fr", "hi-Latn")
 
 
+#: Letters keep their code, all else is a space; combining signs of Indic scripts are letters.
+_FOLD = np.full(0x3000, 32, dtype=np.uint32)
+for _c in range(0x3000):
+    if chr(_c).isalpha() or 0x900 <= _c < 0xE00 and _c not in (0x964, 0x965) and not chr(_c).isdigit():
+        _FOLD[_c] = _c
+_SLOTS = 1 << 18
+
+
+def codes(text: str) -> np.ndarray:
+    """Folded code points of a text between two spaces, with one space between words."""
+    c = _FOLD[np.minimum(np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), dtype=np.uint32), 0x2FFF)]
+    keep = np.ones(len(c), dtype=bool)
+    keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
+    return c[keep]
+
+
+def allowed_languages(c: np.ndarray) -> tuple[str, ...]:
+    """script_languages of folded codes."""
+    bengali, devanagari, letters = int(((c >= 0x980) & (c < 0xA00)).sum()), int(((c >= 0x900) & (c < 0x980)).sum()), int(((c > 48)).sum())
+    if bengali > devanagari and bengali * 3 >= letters:
+        return ("bn",)
+    if devanagari and devanagari * 4 >= letters:
+        return ("hi", "mr")
+    return ("en", "fr", "hi-Latn")
+
+
 class NaiveBayes:
-    """Character n-gram naive Bayes: log-probabilities of the 1- to 4-grams of words, per language."""
+    """Character n-gram naive Bayes: log-probabilities of hashed n-grams, per language."""
 
-    def __init__(self, texts: dict[str, list[str]], sizes: tuple[int, ...] = (1, 2, 3, 4)):
+    def __init__(self, texts: dict[str, list[str]], sizes: tuple[int, ...] = (1, 2, 3)):
         self.sizes = sizes
-        counts = {lang: Counter(g for t in rows for g in self.grams(plain(t))) for lang, rows in texts.items()}
-        vocabulary = sorted(set().union(*counts.values())) if counts else []
-        self.index = {g: i for i, g in enumerate(vocabulary)}
-        self.table = np.zeros((len(vocabulary) + 1, len(LANGUAGES)), dtype=np.float32)
+        self.table = np.zeros((_SLOTS, len(LANGUAGES)), dtype=np.float32)
         for j, lang in enumerate(LANGUAGES):
-            c = counts.get(lang, Counter())
-            total = math.log(sum(c.values()) + 0.1 * (len(vocabulary) + 1))
-            column = np.array([c[g] for g in vocabulary] + [0], dtype=np.float64)
-            self.table[:, j] = np.log(column + 0.1) - total
-        self.posterior = lru_cache(maxsize=100_000)(self._posterior)
-
-    def grams(self, text: str) -> list[str]:
-        t = f" {text} "
-        return [t[i : i + n] for n in self.sizes for i in range(len(t) - n + 1)]
+            counts = np.zeros(_SLOTS)
+            for t in texts.get(lang, ()):
+                np.add.at(counts, self.grams(codes(t)), 1)
+            self.table[:, j] = np.log(counts + 0.02) - math.log(counts.sum() + 0.02 * _SLOTS)
+        self.posterior = lru_cache(maxsize=50_000)(self._posterior)
+
+    def grams(self, c: np.ndarray) -> np.ndarray:
+        out = []
+        for n in self.sizes:
+            h = np.full(max(0, len(c) - n + 1), n, dtype=np.uint32)
+            for i in range(n):
+                h = h * np.uint32(2654435761) + c[i : len(c) - n + 1 + i]
+            out.append((h ^ (h >> np.uint32(15))) % _SLOTS)
+        return np.concatenate(out)
 
     def _posterior(self, text: str) -> dict[str, float]:
         """Posterior of each language that the script allows; tempered, since the n-grams overlap."""
-        allowed = script_languages(text)
-        t = plain(text)
-        if not t:
+        c = codes(text)
+        if not (c > 48).any():
             return {}
+        allowed = allowed_languages(c)
         if len(allowed) == 1:
             return {allowed[0]: 1.0}
-        missing = len(self.index)
-        ids = [self.index.get(g, missing) for g in self.grams(t)]
-        score = self.table[ids].sum(axis=0)[[LANGUAGES.index(x) for x in allowed]] / len(self.sizes)
+        score = self.table[self.grams(c)].sum(axis=0)[[LANGUAGES.index(x) for x in allowed]] / len(self.sizes)
         p = np.exp(score - score.max())
         return dict(zip(allowed, (p / p.sum()).tolist()))
 
@@ -217,6 +243,14 @@ def labelled_sample(questions: DataFrame, key: str, text: str, label: str, rows:
     for _ in range(3):
         model = NaiveBayes({x: [t for t, lang in kept if lang == x] for x in LANGUAGES})
         kept = [(t, best) for t, lang in pairs if (p := model.posterior(t)) and ((best := max(p, key=p.get)) == lang or p[best] > 0.999)]
+
+    def whole(t: str, lang: str) -> bool:
+        """Whether no part of a sentence is in another language for certain."""
+        words = t.split()
+        parts = [words[: len(words) // 2], words[len(words) // 2 :], words[:5], words[-5:]]
+        return all(len(part) < 3 or not (p := model.posterior(" ".join(part))) or (best := max(p, key=p.get)) == lang or p[best] < 0.995 for part in parts)
+
+    kept = [(t, lang) for t, lang in kept if whole(t, lang)]
     return {x: [t for t, lang in kept if lang == x] for x in LANGUAGES}
 
 

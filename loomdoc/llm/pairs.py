@@ -60,7 +60,7 @@ DANGLING = set(
     "आणि पण कारण जर त्यानंतर किंवा ज्या त्या ची चे चा च्या मध्ये साठी परंतु मात्र "
     "এবং কিন্তু কারণ যদি তারপর বা এই সেই যে এর জন্য থেকে তবে অথবা যার".split())
 #: Lengths of the word contexts that ends are counted after.
-ORDERS = (1, 2, 3, 4, 6)
+ORDERS = (1, 2, 4, 6)
 
 
 def letters(text: str) -> list[str]:
@@ -70,6 +70,8 @@ def letters(text: str) -> list[str]:
 def is_empty(response: str | None) -> bool:
     if response is None:
         return True
+    if len(response) > 200:
+        return re.search(r"[^\W_]", response) is None
     x = re.sub(r"<[^>]{0,40}>|&nbsp;|```\w*", " ", response)
     words = " ".join(letters(x))
     return not words or words in STAND_INS or words in BARE or words.replace(" ", "/") in STAND_INS
@@ -80,9 +82,12 @@ def is_copy(query: str, response: str) -> bool:
     asked = letters(query)
     if not asked:
         return False
-    rest, times = response, 0
-    parts = []
-    for line in re.split(r"\n+", rest):
+    extra = len(set(letters(response)).difference(asked))
+    if extra > 8:  # more than any presentation has
+        return False
+    times = 0
+    parts: list[str] = []
+    for line in re.split(r"\n+", response):
         previous = None
         while previous != line:
             previous, line = line, _PRESENTED.sub("", line)
@@ -278,7 +283,7 @@ def broken_pairs(df: DataFrame, sample: dict[str, list[str]]) -> DataFrame:
     total = df.count()
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = held[0] if held else NaiveBayes(shared.value, (3,))
+        model = held[0] if held else NaiveBayes(shared.value, (2, 3))
         held.append(model)
         for batch in batches:
             out = []
