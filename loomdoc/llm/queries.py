@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm import conversations, encoding, language, pairs, personal, repeated
+from loomdoc.llm import conversations, encoding, language, mixing, packing, pairs, personal, repeated, tokens
 from loomdoc.session import table
 
 
@@ -61,6 +61,24 @@ def p6_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir).select("record_id", "segment_no", "language", "confidence")
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(tokens.with_tokens(table(spark, sf_dir, "documents"), "text", ["doc_id"]), table(spark, sf_dir, "context_windows"), "doc_id")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(p7_containers(spark, sf_dir), table(spark, sf_dir, "context_windows"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    documents = table(spark, sf_dir, "documents").join(F.broadcast(targets.select("source")), "source", "left_semi")
+    return mixing.mix(tokens.with_tokens(documents, "text", ["doc_id", "source"]), targets, "doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_items(table(spark, sf_dir, "documents"), "doc_id", "text")
 
