@@ -4,7 +4,8 @@ Each source gets as many copies of its documents as its share of the largest fea
 whole rounds of all its documents and a fractional round. The fractional round is drawn with the cube
 method: inclusion probabilities move through the null space of the balancing constraints, number and
 tokens of documents, until all but two of a block are decided; what is left of the blocks flies again
-together, until a landing of two documents a source remains.
+together, until a landing of two documents a source remains. A last exchange of a few documents within
+the landing's block evens out its rounding.
 """
 
 from __future__ import annotations
@@ -58,14 +59,36 @@ def land(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return p
 
 
+def exchange(p: np.ndarray, sizes: np.ndarray, want: float) -> np.ndarray:
+    """Swaps a drawn document for one that is not drawn while that brings the drawn tokens nearer to those wanted."""
+    p = p.copy()
+    for _ in range(8):
+        off = want - float((p * sizes).sum())
+        inside, outside = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+        if not len(inside) or not len(outside) or abs(off) < 1:
+            break
+        order = outside[np.argsort(sizes[outside], kind="stable")]
+        at = np.clip(np.searchsorted(sizes[order], sizes[inside] + off), 0, len(order) - 1)
+        left = np.abs(sizes[order[at]] - sizes[inside] - off)
+        below = np.abs(sizes[order[np.maximum(at - 1, 0)]] - sizes[inside] - off)
+        at = np.where(below < left, np.maximum(at - 1, 0), at)
+        left = np.minimum(left, below)
+        i = int(left.argmin())
+        if left[i] >= abs(off):
+            break
+        p[inside[i]], p[order[at[i]]] = 0.0, 1.0
+    return p
+
+
 def _fly(seed: str, level: int, last: bool):
     def fly(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["tokens", "_k"], ascending=[False, True]).reset_index(drop=True)  # the smallest are left for the landing
         name = f"{seed}|{group['source'].iloc[0]}|{group['_block'].iloc[0]}|{level}"
         rng = np.random.default_rng(int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big"))
         sizes = group["tokens"].to_numpy(dtype=float)
-        p = flight(group["p"].to_numpy(dtype=float), sizes, rng)
-        group["p"] = land(p, sizes) if last else p
+        start = group["p"].to_numpy(dtype=float)
+        p = flight(start, sizes, rng)
+        group["p"] = exchange(land(p, sizes), sizes, float((start * sizes).sum())) if last else p
         return group
 
     return fly

@@ -82,8 +82,9 @@ def is_copy(query: str, response: str) -> bool:
     asked = letters(query)
     if not asked:
         return False
-    extra = len(set(letters(response)).difference(asked))
-    if extra > 8:  # more than any presentation has
+    if len(response) > 400 and len(response) > 3 * len(query) and asked[0] not in response.lower()[: len(query) + 60]:
+        return False
+    if len(set(letters(response)).difference(asked)) > 8:  # more other words than any presentation has
         return False
     times = 0
     parts: list[str] = []
@@ -112,6 +113,9 @@ def _lost(asked: list[str], said: list[str]) -> bool:
 
 def is_refusal(response: str) -> bool:
     """Whether every sentence declines, opens with an apology, or only sends elsewhere, and one declines."""
+    first = re.split(r"(?<=[.?!।])\s|\n", response.strip(), maxsplit=1)[0]
+    if not (_OPENS.search(first) or _DENIES.search(first) or _CLOSES.search(first) or _NOTE.fullmatch(first)):
+        return False
     declined = False
     for s in sentences(re.sub(r"\s*\n\s*", " ", response)):
         opens, denies = _OPENS.search(s), _DENIES.search(s)
@@ -158,12 +162,22 @@ def last_contexts(text: str) -> list[str]:
     return [" ".join(last[0][-n:]) for n in ORDERS if n <= len(last[0])] if last and not last[1] else []
 
 
+#: A closing note is no longer than this.
+_NOTE_SIZE = 200
+_CLOSERS = " \t\r\n*_\"'”’»)]"
+
+
 def without_note(text: str) -> str:
+    """The text without the page notes, closing marks and dots of omission at its end."""
     bare = text.rstrip()
-    while (shorter := _NOTE.sub("", bare)) != bare and shorter.strip():
-        bare = shorter.rstrip()
-    bare = re.sub(r"[\s*_\"'”’»)\]]+$", "", bare)
-    return re.sub(r"\s*(?:\.{2,}|…)+$", "", bare)
+    while True:
+        head, tail = bare[:-_NOTE_SIZE], bare[-_NOTE_SIZE:]
+        shorter = (head + _NOTE.sub("", tail)).rstrip()
+        if shorter == bare or not shorter:
+            break
+        bare = shorter
+    bare = bare.rstrip(_CLOSERS)
+    return bare.rstrip(".… ") if bare.endswith(("..", "…")) else bare
 
 
 class EndModel:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm import conversations, encoding, language, mixing, packing, pairs, personal, repeated, tokens
+from loomdoc.llm import conversations, encoding, language, mixing, packing, pairs, personal, repeated, scanned, tokens
 from loomdoc.session import table
 
 
@@ -21,6 +21,14 @@ def p1_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.broken_pairs(table(spark, sf_dir, "query_log"), _sample(spark, sf_dir)).groupBy("defect", "feedback").agg(F.count("*").alias("pairs"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.repair_scanned(table(spark, sf_dir, "scanned_pages")).select("page_id", F.explode("found").alias("f")).select("page_id", "f.line_no", "f.kind", "f.word")
+
+
+def p2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.repair_scanned(table(spark, sf_dir, "scanned_pages")).select("page_id", "text")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild_conversations(table(spark, sf_dir, "session_log")).where("session_id is not null").select("session_id", "message_no", "speaker", "log_id")
 
