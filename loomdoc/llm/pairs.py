@@ -82,8 +82,8 @@ def is_copy(query: str, response: str) -> bool:
     asked = letters(query)
     if not asked:
         return False
-    if len(response) > 400 and len(response) > 3 * len(query) and asked[0] not in response.lower()[: len(query) + 60]:
-        return False
+    if len(response) > 2 * len(query) + 80 and not any(w in response[:80].lower() for w in asked[:2]):
+        return False  # it does not begin with the question
     if len(set(letters(response)).difference(asked)) > 8:  # more other words than any presentation has
         return False
     times = 0
@@ -208,7 +208,7 @@ def is_truncated(response: str, model: EndModel) -> bool:
     last = lines[-1].strip()
     if re.fullmatch(r"(?:[-*•]|\(?\d{1,2}[.)]|\(?[a-z][.)])?[\s*_]*", last):
         return True
-    bare = without_note(text)
+    bare = text if text[-1] in _ENDS and not text.endswith("..") else without_note(text)
     if not bare:
         return False
     if bare[-1] in _ENDS:
@@ -234,10 +234,10 @@ def languages_of(text: str, model: NaiveBayes, least: float = 0.9) -> Counter:
 
 def is_foreign(query: str, response: str, model: NaiveBayes) -> bool:
     """Whether the response is in a language that the query is neither written in nor asks for."""
-    meant = set(languages_of(query, model, 0.5)) or {max(p, key=p.get) for p in [model.posterior(query)] if p}
-    whole = model.posterior(response)
-    if whole and max(whole, key=whole.get) in meant:
+    whole, asked_in = model.posterior(response), model.posterior(query)
+    if whole and asked_in and max(whole, key=whole.get) == max(asked_in, key=asked_in.get):
         return False
+    meant = set(languages_of(query, model, 0.5)) or {max(p, key=p.get) for p in [asked_in] if p}
     body = "\n".join(x for x in response.split("\n") if letters(x) != letters(query))
     said = languages_of(body, model)
     if not said:
@@ -267,7 +267,7 @@ def end_counts(df: DataFrame, response: str, least: int = 5) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             places, marked, bare = count_ends(batch["t"].tolist())
-            yield pd.DataFrame([(c, n, marked[c], bare[c]) for c, n in places.items()], columns=["context", "places", "marked", "bare"])
+            yield pd.DataFrame({"context": list(places), "places": list(places.values()), "marked": [marked.get(c, 0) for c in places], "bare": [bare.get(c, 0) for c in places]})
 
     part = df.where(F.col(response).isNotNull()).select(F.col(response).alias("t")).mapInPandas(run, "context string, places long, marked long, bare long")
     return part.groupBy("context").agg(*[F.sum(x).alias(x) for x in ("places", "marked", "bare")]).where(F.col("places") >= least)
