@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 BLOCK = 1000
 
 
+_SIZE = itemgetter(0)
+
+
 def difference(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
     """Items 0..n-1 in at most k windows of nearly equal size, as (size, items); empty windows are left out."""
     if not sizes:
@@ -36,7 +39,7 @@ def difference(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
         else:  # the smallest of one meet the smallest of the other, in opposing order
             pairs = [(x + y, (p, q)) for (x, p), (y, q) in zip(a[len(a) - over :], reversed(b[len(b) - over :]))]
             merged = [*a[: len(a) - over], *b[: len(b) - over], *pairs]
-        merged.sort(key=lambda w: -w[0])
+        merged.sort(key=_SIZE, reverse=True)
         least = merged[-1][0] if len(merged) == k else 0
         n += 1
         heapq.heappush(heap, (least - merged[0][0], n, merged))
@@ -57,12 +60,23 @@ def fill(sizes: list[int], capacity: int) -> list[list[int]]:
     """Items, none above the capacity, in windows that keep it."""
     if not sizes:
         return []
-    k = max(1, math.ceil(sum(sizes) / capacity))
-    while True:
+    low = max(1, math.ceil(sum(sizes) / capacity))
+    step, k, best = 1, low, None
+    while best is None:  # the count rises in growing steps while a window exceeds the capacity ...
+        windows = difference(sizes, k)
+        if windows[0][0] <= capacity:
+            best = windows
+        else:
+            low, k, step = k + 1, k + step, 2 * step
+    high = k
+    while low < high:  # ... and the last step is searched for the least that does
+        k = (low + high) // 2
         windows = difference(sizes, k)
-        if max(size for size, _ in windows) <= capacity:
-            return [items for _, items in windows]
-        k += max(1, k // 400)
+        if windows[0][0] <= capacity:
+            high, best = k, windows
+        else:
+            low = k + 1
+    return [items for _, items in best]
 
 
 def pack(sized: DataFrame, windows: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
