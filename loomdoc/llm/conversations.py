@@ -69,9 +69,21 @@ def connected_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _quoted(text: Column) -> Column:
-    """Key of a message for quote links: letters and digits of its first line or of what it quotes."""
-    return F.nullif(F.lower(F.regexp_replace(F.regexp_extract(text, r"(?s)^\s*(?:>\s*)?([^\n]*)", 1), r"[^\p{L}\p{M}\p{N}]+", " ")), F.lit(""))
+def _key(text: Column) -> Column:
+    """Letters and digits of a message, which quote links compare."""
+    return F.nullif(F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}]+", " "))), F.lit(""))
+
+
+def _quote(text: Column) -> Column:
+    """What the first line of a message quotes or replies to; null where it does neither."""
+    return _key(F.nullif(F.regexp_extract(text, r"(?i)^\s*(?:>+|re\s*:|in reply to\s*:)\s*([^\n]+)", 1), F.lit("")))
+
+
+def quote_links(rows: DataFrame) -> DataFrame:
+    """(a, b): rows (id, q, r) one of which quotes a message of the other, through the smallest id of each text."""
+    says = rows.select("id", F.explode(F.array(*[F.struct(k.alias("key"), F.lit(quotes).alias("quotes")) for c in ("q", "r") for k, quotes in ((_key(F.col(c)), False), (_quote(F.col(c)), True))])).alias("s")).select("id", "s.*").where("key is not null")
+    hubs = says.groupBy("key").agg(F.min("id").alias("hub"), F.max("quotes").alias("quoted")).where("quoted")
+    return says.join(hubs, "key").select(F.col("id").alias("a"), F.col("hub").alias("b")).where("a != b")
 
 
 def rebuild_conversations(df: DataFrame) -> DataFrame:
@@ -95,11 +107,8 @@ def rebuild_conversations(df: DataFrame) -> DataFrame:
         read_time(F.col("c.timestamp")).alias("at"), "c.received_at", F.col("c._q").alias("q"), F.col("c._r").alias("r"),
     )
     named = once.where("session is not null").withColumn("conversation", F.concat(F.lit("s:"), "session"))
-    # rows without a session: a reply row quotes the question that it answers, a later row the reply that it follows
     loose = cut(once.where("session is null and id is not null"))
-    says = loose.select("id", F.explode(F.array(_quoted(F.col("q")), _quoted(F.col("r")))).alias("key")).where("key is not null").distinct()
-    hubs = says.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    links = says.join(hubs, "key").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    links = quote_links(loose)
     component = connected_components(links)
     unnamed = loose.join(component, loose["id"] == component["node"], "left").select(*loose.columns, F.concat(F.lit("c:"), F.coalesce("component", "id")).alias("conversation"))
     every = named.unionByName(unnamed).withColumn("id", F.coalesce("id", F.lit("")))

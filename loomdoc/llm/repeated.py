@@ -49,7 +49,7 @@ def _marks(line: str, plain: str) -> str | None:
         words = _DATE.sub("0", _NUMBER.sub("<*>", " ".join(words).lower())).split() and re.sub(rf"0 (?i:{MONTHS})\.?,? 0", "0", " ".join(words)).split()
         if len(words) != size:
             return None
-    return "".join("1" if w.lstrip("(\"'“")[:1].isupper() else "0" for w in words)
+    return "".join("1" if any(x[:1].isupper() for x in w.lstrip("(\"'“").split("-")) else "0" for w in words)
 
 
 def _leaf(plain: str) -> tuple[int, str]:
@@ -85,7 +85,7 @@ def repeated_lines(df: DataFrame, key: str, source: str, content: str, share: fl
     """
     kind = df.schema[key].dataType.simpleString()
     base = df.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"), F.col(content).alias("_text")).where("_key is not null and _source is not null and _text is not null")
-    totals = base.groupBy("_source").agg(F.countDistinct("_key").alias("_docs")).withColumn("_need", F.greatest(F.col("_docs") * share, F.lit(least)))
+    totals = base.groupBy("_source").agg(F.countDistinct("_key").alias("_docs")).withColumn("_need", F.greatest(F.ceil(F.col("_docs") * share - 1e-6), F.lit(least)))
     leaf = ["_source", "_size", "_first"]
     leaves = (
         base.select("_source", "_text").mapInPandas(_count_leaves, "_source string, _size int, _first string, _n long")

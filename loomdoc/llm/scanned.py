@@ -22,7 +22,7 @@ from loomdoc.session import cut
 #: What is read, and what may have been written.
 CONFUSIONS = (
     ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("9", "g"), ("8", "b"), ("2", "z"), ("rn", "m"), ("m", "rn"), ("ri", "n"), ("n", "ri"), ("ii", "u"), ("u", "ii"), ("li", "u"), ("cl", "d"), ("d", "cl"), ("vv", "w"), ("w", "vv"),
-    ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("l", "i"), ("i", "l"), ("b", "h"), ("h", "b"), ("y", "v"), ("v", "y"), ("u", "n"), ("n", "u"), ("o", "a"), ("a", "o"), ("c", "o"), ("o", "c"), ("q", "g"), ("g", "q"), ("|", "l"), ("!", "l"), ("tl", "h"), ("nn", "m"), ("in", "m"),
+    ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("l", "i"), ("i", "l"), ("b", "h"), ("h", "b"), ("y", "v"), ("v", "y"), ("u", "n"), ("n", "u"), ("o", "a"), ("a", "o"), ("c", "o"), ("o", "c"), ("q", "g"), ("g", "q"), ("|", "l"), ("!", "l"), ("h", "li"), ("tl", "h"), ("nn", "m"), ("in", "m"),
     ("ि", "ी"), ("ी", "ि"), ("ो", "ी"), ("ी", "ो"), ("ै", "े"), ("े", "ै"), ("ु", "ू"), ("ू", "ु"), ("ौ", "ो"), ("ो", "ौ"), ("ं", "ँ"), ("ँ", "ं"), ("भ", "म"), ("म", "भ"), ("ब", "व"), ("व", "ब"), ("घ", "ध"), ("ध", "घ"), ("य", "थ"), ("थ", "य"), ("प", "ष"), ("ष", "प"), ("ड", "ड़"), ("ढ", "ढ़"), ("ड", "इ"), ("इ", "ड"), ("न", "त"), ("त", "न"), ("र", "स"), ("ख", "रव"), ("रव", "ख"), ("ण", "रा"), ("श", "रा"), ("द", "ट"), ("ट", "द"), ("क", "फ"), ("फ", "क"), ("ज", "च"), ("च", "ज"), ("ल", "त"), ("ग", "म"), ("ह", "ड"),
 )
 _DIGITS = str.maketrans({"o": "0", "O": "0", "l": "1", "I": "1", "i": "1", "|": "1", "s": "5", "S": "5", "b": "6", "B": "8", "g": "9", "q": "9", "z": "2", "Z": "2"})
@@ -31,6 +31,8 @@ _BREAK = re.compile("[-‐¬­]$")
 _PAGE_WORDS = re.compile(r"page|pg|p|no|of|पृष्ठ|सं|संख्या|पेज|पान", re.I)
 _INDIC_DIGITS = str.maketrans("०१२३४५६७८९", "0123456789")
 _STOPS = ".।?!:;"
+#: A word is one in its own right if it is more frequent than this, measured by a word that it may be a misreading of.
+OWN_WORD = 0.12
 #: Share of all words that a word, or a pair, must make up to be in the model: it bounds the model whatever the corpus.
 WORD_SHARE, PAIR_SHARE = 2e-6, 4e-6
 
@@ -91,10 +93,14 @@ def may_be_header(lines: list[str], i: int, share: float = 0.86) -> bool:
 def _edge_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for path, page, text in zip(batch["file_path"], batch["page_num"], batch["page_content"]):
+        for key, path, page, text in zip(batch["page_id"], batch["file_path"], batch["page_num"], batch["page_content"]):
             lines, page = page_lines(text), None if pd.isna(page) else int(page)
-            rows += [(path, k) for k in {header_key(lines[i], page) for i in edge_lines(lines) if may_be_header(lines, i)} if k]
-        yield pd.DataFrame(rows, columns=["file_path", "key"])
+            keys: dict[str, bool] = {}
+            for i in edge_lines(lines):
+                if may_be_header(lines, i, 1.01) and (k := header_key(lines[i], page)):
+                    keys[k] = keys.get(k, False) or may_be_header(lines, i)
+            rows += [(key, path, k, narrow) for k, narrow in keys.items()]
+        yield pd.DataFrame(rows, columns=["page_id", "file_path", "key", "narrow"])
 
 
 def words_of(text: str) -> Iterator[list[str]]:
@@ -155,8 +161,9 @@ class Channel:
         """Occurrences of a word that misreadings of others do not explain."""
         if (n := self.known.get(word)) is None:
             seen = self.words.get(word, 0)
-            mistaken = sum(self.words.get(v, 0) * self.rates[k] for v, k in variants(word) if self.words.get(v, 0) > 4 * seen)
-            n = self.known[word] = float(seen) if seen > 6 * mistaken else 0.0
+            rivals = [(m, self.rates[k]) for v, k in variants(word) if (m := self.words.get(v, 0)) > 4 * seen]
+            mistaken = max([6 * sum(m * rate for m, rate in rivals), *(OWN_WORD * m for m, _ in rivals)], default=0.0)
+            n = self.known[word] = float(seen) if seen > mistaken else 0.0
             if len(self.known) > 500_000:
                 self.known.clear()
         return n
@@ -284,10 +291,11 @@ def repair_scanned(df: DataFrame) -> DataFrame:
     words and pairs above a fixed share of the corpus, which bounds it; counts cover all pages.
     """
     pages = cut(df.groupBy("page_id").agg(*[F.max(c).alias(c) for c in ("file_path", "page_num")], F.coalesce(F.max("page_content"), F.lit("")).alias("page_content")).where("page_id is not null"))
-    keys = pages.where("file_path is not null").select("file_path", "page_num", "page_content").mapInPandas(_edge_keys, "file_path string, key string")
-    in_file = keys.groupBy("file_path", "key").agg(F.count("*").alias("n"))
+    keys = cut(pages.where("file_path is not null").select("page_id", "file_path", "page_num", "page_content").mapInPandas(_edge_keys, "page_id string, file_path string, key string, narrow boolean"))
+    in_file = keys.where("narrow").groupBy("file_path", "key").agg(F.count("*").alias("n"))
     known = in_file.groupBy("key").agg(F.sum("n").alias("all"))
-    recurring = in_file.join(known, "key").where("n > 1 or all > 3").groupBy("file_path").agg(F.collect_set("key").alias("headers"))
+    recurring = in_file.join(known, "key").where("n > 1 or all > 3").select("file_path", "key")
+    titled = keys.join(recurring, ["file_path", "key"]).groupBy("page_id").agg(F.collect_set("key").alias("headers"))  # at most the edge lines of a page
 
     grams = cut(pages.select("page_content").mapInPandas(_count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     single = ~F.contains("gram", F.lit(" "))
@@ -312,4 +320,4 @@ def repair_scanned(df: DataFrame) -> DataFrame:
                 rows.append((key, [{"line_no": i, "kind": k, "word": w} for i, k, w in found], clean))
             yield pd.DataFrame(rows, columns=["page_id", "found", "text"])
 
-    return pages.join(recurring, "file_path", "left").select("page_id", "page_num", "page_content", "headers").mapInPandas(run, "page_id string, found array<struct<line_no:int,kind:string,word:string>>, text string")
+    return pages.join(titled, "page_id", "left").select("page_id", "page_num", "page_content", "headers").mapInPandas(run, "page_id string, found array<struct<line_no:int,kind:string,word:string>>, text string")

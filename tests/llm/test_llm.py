@@ -94,6 +94,14 @@ def test_components_equal_union_find(spark):
     assert got == {n: find(n) for n in parent if find(n) != n}
 
 
+def test_quotes_link_rows_without_session(spark):
+    t = datetime(2024, 1, 1)
+    rows = [("1", None, "2024-01-01T10:00:00", "Who approves it?", None, t), ("2", None, "2024-01-01T10:00:09", None, "> who approves it\nThe committee.", t), ("3", None, "2024-01-01T10:00:00", "Same words?", "x", t), ("4", None, "2024-01-01T10:00:00", "Same words?", "y", t)]
+    df = spark.createDataFrame(rows, "id string, session_id string, timestamp string, query string, response string, received_at timestamp")
+    got = {(r["conversation"], r["message_no"], r["log_id"]) for r in conversations.rebuild_conversations(df).collect()}
+    assert got == {("c:1", 1, "1"), ("c:1", 2, "2"), ("c:3", 1, "3"), ("c:3", 2, "3"), ("c:4", 1, "4"), ("c:4", 2, "4")}
+
+
 def test_conversations(spark):
     t = datetime(2024, 1, 1)
     rows = [
