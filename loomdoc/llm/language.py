@@ -84,8 +84,11 @@ def codes(text: str) -> np.ndarray:
 
 
 def allowed_languages(c: np.ndarray) -> tuple[str, ...]:
-    """script_languages of folded codes."""
-    bengali, devanagari, letters = int(((c >= 0x980) & (c < 0xA00)).sum()), int(((c >= 0x900) & (c < 0x980)).sum()), int(((c > 48)).sum())
+    """script_languages of folded codes; none where there is no letter."""
+    blocks = np.bincount(c >> 7, minlength=20)  # of 128 codes: Devanagari is the 18th, Bengali the 19th
+    devanagari, bengali, letters = int(blocks[18]), int(blocks[19]), len(c) - int(np.count_nonzero(c == 32))
+    if not letters:
+        return ()
     if bengali > devanagari and bengali * 3 >= letters:
         return ("bn",)
     if devanagari and devanagari * 4 >= letters:
@@ -96,16 +99,19 @@ def allowed_languages(c: np.ndarray) -> tuple[str, ...]:
 class NaiveBayes:
     """Character n-gram naive Bayes: log-probabilities of hashed n-grams, per language."""
 
-    def __init__(self, texts: dict[str, list[str]], sizes: tuple[int, ...] = (1, 2, 3)):
+    def __init__(self, texts: dict[str, list[str]], sizes: tuple[int, ...] = (1, 2, 3), table: np.ndarray | None = None):
         self.sizes = sizes
-        self.table = np.zeros((_SLOTS, len(LANGUAGES)), dtype=np.float32)
-        for j, lang in enumerate(LANGUAGES):
-            counts = np.zeros(_SLOTS)
-            for t in texts.get(lang, ()):
-                np.add.at(counts, self.grams(codes(t)), 1)
-            self.table[:, j] = np.log(counts + 0.02) - math.log(counts.sum() + 0.02 * _SLOTS)
+        self.table = self.fitted(texts) if table is None else table
         self.posterior = lru_cache(maxsize=50_000)(self._posterior)
 
+    def fitted(self, texts: dict[str, list[str]]) -> np.ndarray:
+        table = np.zeros((_SLOTS, len(LANGUAGES)), dtype=np.float32)
+        for j, lang in enumerate(LANGUAGES):
+            found = [self.grams(codes(t)) for t in texts.get(lang, ())]
+            counts = np.bincount(np.concatenate(found), minlength=_SLOTS).astype(float) if found else np.zeros(_SLOTS)
+            table[:, j] = np.log(counts + 0.02) - math.log(counts.sum() + 0.02 * _SLOTS)
+        return table
+
     def grams(self, c: np.ndarray) -> np.ndarray:
         out = []
         for n in self.sizes:
@@ -118,9 +124,9 @@ class NaiveBayes:
     def _posterior(self, text: str) -> dict[str, float]:
         """Posterior of each language that the script allows; tempered, since the n-grams overlap."""
         c = codes(text)
-        if not (c > 48).any():
-            return {}
         allowed = allowed_languages(c)
+        if not allowed:
+            return {}
         if len(allowed) == 1:
             return {allowed[0]: 1.0}
         score = self.table[self.grams(c)].sum(axis=0)[[LANGUAGES.index(x) for x in allowed]] / len(self.sizes)

@@ -281,7 +281,7 @@ def broken_pairs(df: DataFrame, sample: dict[str, list[str]]) -> DataFrame:
     of the corpus is sent about. Rows with a null id or a null or blank query give none; a repeated id counts
     once; feedback may be null and plays no part.
     """
-    shared = df.sparkSession.sparkContext.broadcast(sample)
+    shared = df.sparkSession.sparkContext.broadcast(NaiveBayes(sample, (2, 3)).table)  # of fixed size
     rows = df.where(r"id is not null and query rlike '[\\p{L}\\p{N}]'").select("id", "query", "response", "feedback")
     open_end = ~F.col("response").rlike(r"(?<!\.)[.?!।॥][\s\"'”’)*_\]]*$")
 
@@ -297,7 +297,7 @@ def broken_pairs(df: DataFrame, sample: dict[str, list[str]]) -> DataFrame:
     total = df.count()
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = held[0] if held else NaiveBayes(shared.value, (2, 3))
+        model = held[0] if held else NaiveBayes({}, (2, 3), shared.value)
         held.append(model)
         for batch in batches:
             out = []
