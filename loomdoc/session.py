@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tasks(spark: SparkSession, least: int = 8) -> int:
     """Shuffle partitions for stages whose number of partitions must be fixed."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that it need not be installed there."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="loomdoc-")) / "loomdoc_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, str(file.relative_to(root.parent)))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(application)
