@@ -99,7 +99,22 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
-SQL: dict[str, str] = {}
+def _present(c: str) -> str:
+    bare = f"lower(regexp_replace({c}, '^[\\s\\x{{A0}}\\x{{200B}}-\\x{{200F}}\\x{{FEFF}}]+|[\\s\\x{{A0}}\\x{{200B}}-\\x{{200F}}\\x{{FEFF}}]+$', '', 'g'))"
+    names = ", ".join("'" + x.replace("'", "''") + "'" for x in conversations.STAND_INS)
+    return f"CASE WHEN regexp_matches({bare}, '[\\p{{L}}\\p{{N}}]') AND {bare} NOT IN ({names}) THEN {c} END"
+
+
+_ISO = "replace(trim(timestamp), ' ', 'T')"
+_AT = f"""CASE WHEN regexp_full_match(trim(timestamp), '\\d{{13}}') THEN trim(timestamp)::BIGINT * 1000 WHEN regexp_full_match(trim(timestamp), '\\d{{10}}') THEN trim(timestamp)::BIGINT * 1000000 WHEN regexp_full_match(trim(timestamp), '\\d{{16}}') THEN trim(timestamp)::BIGINT
+ WHEN NOT regexp_matches(trim(timestamp), '^\\d{{4}}-\\d{{2}}-\\d{{2}}[T ]\\d{{2}}:\\d{{2}}') THEN NULL WHEN regexp_matches(trim(timestamp), '([Zz]|[+-]\\d{{2}}:?\\d{{2}})$') THEN epoch_us(TRY_CAST({_ISO} AS TIMESTAMPTZ)) ELSE epoch_us(TRY_CAST({_ISO} || 'Z' AS TIMESTAMPTZ)) - 19800000000 END"""
+SQL: dict[str, str] = {
+    "p3_found": f"""WITH b AS (SELECT id, session_id, timestamp, received_at, {_present('query')} AS q, {_present('response')} AS r FROM session_log WHERE id IS NOT NULL),
+ o AS (SELECT *, nullif(lower(regexp_replace(session_id, '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g')), '') AS s, {_AT} AS told FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY (q IS NOT NULL)::INT + (r IS NOT NULL)::INT DESC, coalesce(length(q), 0) + coalesce(length(r), 0) DESC, timestamp IS NOT NULL DESC, received_at DESC NULLS LAST, session_id DESC NULLS LAST, timestamp DESC NULLS LAST) = 1),
+ m AS (SELECT s, id, told, q IS NULL AS answers, received_at, CASE WHEN told IS NULL OR (q IS NULL AND r IS NULL) THEN [2] ELSE list_filter([CASE WHEN q IS NOT NULL THEN 0 END, CASE WHEN r IS NOT NULL THEN 1 END], lambda x: x IS NOT NULL) END AS turns FROM o WHERE s IS NOT NULL),
+ n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY coalesce(told, 0), answers, received_at, id, turn) AS message_no FROM (SELECT * EXCLUDE turns, unnest(turns) AS turn FROM m))
+ SELECT s AS session_id, message_no::INT AS message_no, CASE turn WHEN 0 THEN 'user' ELSE 'assistant' END AS speaker, id AS log_id FROM n WHERE s IN (SELECT s FROM n GROUP BY s HAVING bool_and(turn = (message_no - 1) % 2) AND max(message_no) % 2 = 0)""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
