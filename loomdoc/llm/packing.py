@@ -79,17 +79,17 @@ def fill(sizes: list[int], capacity: int) -> list[list[int]]:
     return [items for _, items in best]
 
 
-def pack(sized: DataFrame, windows: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+def pack(sized: DataFrame, windows: DataFrame, key: str, block: int = BLOCK, rows: int | None = None) -> DataFrame:
     """(window_name, container_id, key, part_no, tokens) for (key, tokens) and each (window_name, capacity_tokens).
 
     Only an item larger than the capacity is divided: into full containers and a rest that is packed with
     others. Items of no size are placed like any other. Blocks are cut by hash, so that they are alike and
     none grows with the data; ``windows`` is a table of a few rows. Null keys, sizes or capacities and
-    capacities below 1 give no row; a key that comes again is an item of its own. An empty table gives none.
+    capacities below 1 give no row; ``rows``, where known, saves counting the items, which measures them a second time; a key that comes again is an item of its own. An empty table gives none.
     """
     kind = sized.schema[key].dataType.simpleString()
     items = sized.where(F.col(key).isNotNull() & F.col("tokens").isNotNull()).select(F.col(key).alias("_k"), "tokens")
-    blocks = max(1, math.ceil(items.select("_k").count() / block))
+    blocks = max(1, math.ceil((items.count() if rows is None else rows) / block))
     work = items.withColumn("_block", F.pmod(F.xxhash64("_k"), F.lit(blocks))).crossJoin(F.broadcast(windows.where("window_name is not null and capacity_tokens > 0").select("window_name", "capacity_tokens")))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

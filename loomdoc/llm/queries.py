@@ -70,7 +70,8 @@ def p6_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(tokens.with_tokens(table(spark, sf_dir, "documents"), "text", ["doc_id"]), table(spark, sf_dir, "context_windows"), "doc_id")
+    documents = table(spark, sf_dir, "documents")
+    return packing.pack(tokens.with_tokens(documents, "text", ["doc_id"]), table(spark, sf_dir, "context_windows"), "doc_id", rows=documents.count())
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
