@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomdoc import lexicon
 from loomdoc.functions import text as T
 from loomdoc.operators import logs
+from loomdoc.operators.ranking import spread_positions
 from loomdoc.plans.catalogue import query, sql_list
 from loomdoc.session import table
 from loomdoc.streaming import live
@@ -72,8 +73,9 @@ def history_last_n(spark, sf_dir):
 @query("WITH t AS (SELECT session_id, id, max(received_at) AS received_at, max(query) AS query, max(response) AS response FROM session_log WHERE session_id IS NOT NULL GROUP BY ALL), p AS (SELECT session_id, id, query, lag(query) OVER w AS asked, lag(response) OVER w AS told FROM t WINDOW w AS (PARTITION BY session_id ORDER BY received_at, id)) SELECT session_id, id, asked || ' ' || query AS merged FROM p WHERE asked IS NOT NULL AND query IS NOT NULL AND (told IS NULL OR told = '')")
 def clarify_merge(spark, sf_dir):
     turns = table(spark, sf_dir, "session_log").where("session_id is not null").groupBy("session_id", "id").agg(*[F.max(c).alias(c) for c in ("received_at", "query", "response")])
-    by = Window.partitionBy("session_id").orderBy("received_at", "id")
-    before = turns.withColumns({"asked": F.lag("query").over(by), "told": F.lag("response").over(by)})
+    placed = spread_positions(turns, ["session_id"], [F.col("received_at").asc(), F.col("id").asc()])
+    earlier = placed.select("session_id", (F.col("position") + 1).alias("position"), F.col("query").alias("asked"), F.col("response").alias("told"))
+    before = placed.join(earlier, ["session_id", "position"])
     return before.where("asked is not null and query is not null and (told is null or told = '')").select("session_id", "id", F.concat("asked", F.lit(" "), "query").alias("merged"))
 
 
