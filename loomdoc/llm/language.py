@@ -72,7 +72,7 @@ _FOLD = np.full(0x3000, 32, dtype=np.uint32)
 for _c in range(0x3000):
     if chr(_c).isalpha() or 0x900 <= _c < 0xE00 and _c not in (0x964, 0x965) and not chr(_c).isdigit():
         _FOLD[_c] = _c
-_SLOTS = 1 << 18
+_SLOTS = 1 << 16
 
 
 def codes(text: str) -> np.ndarray:
@@ -103,6 +103,16 @@ class NaiveBayes:
         self.sizes = sizes
         self.table = self.fitted(texts) if table is None else table
         self.posterior = lru_cache(maxsize=50_000)(self._posterior)
+        self.best = lru_cache(maxsize=50_000)(self._best)
+        self.columns = {x: np.ascontiguousarray(self.table[:, [LANGUAGES.index(y) for y in x]]) for x in (("hi", "mr"), ("en", "fr", "hi-Latn"))}
+
+    def _best(self, text: str) -> str | None:
+        """The language of the greatest posterior; none without letters."""
+        c = codes(text)
+        allowed = allowed_languages(c)
+        if len(allowed) < 2:
+            return allowed[0] if allowed else None
+        return allowed[int(self.columns[allowed][self.grams(c)].sum(axis=0).argmax())]
 
     def fitted(self, texts: dict[str, list[str]]) -> np.ndarray:
         table = np.zeros((_SLOTS, len(LANGUAGES)), dtype=np.float32)
@@ -129,7 +139,7 @@ class NaiveBayes:
             return {}
         if len(allowed) == 1:
             return {allowed[0]: 1.0}
-        score = self.table[self.grams(c)].sum(axis=0)[[LANGUAGES.index(x) for x in allowed]] / len(self.sizes)
+        score = self.columns[allowed][self.grams(c)].sum(axis=0) / len(self.sizes)
         p = np.exp(score - score.max())
         return dict(zip(allowed, (p / p.sum()).tolist()))
 

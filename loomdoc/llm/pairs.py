@@ -204,16 +204,17 @@ class EndModel:
 def is_truncated(response: str, model: EndModel) -> bool:
     """Whether the text breaks off: inside a bracket, a list item or a sentence."""
     text = response.rstrip()
-    lines = [x for x in text.split("\n") if x.strip()]
-    last = lines[-1].strip()
-    if re.fullmatch(r"(?:[-*•]|\(?\d{1,2}[.)]|\(?[a-z][.)])?[\s*_]*", last):
+    last = text.rsplit("\n", 1)[-1].strip()
+    if len(last) < 12 and re.fullmatch(r"(?:[-*•]|\(?\d{1,2}[.)]|\(?[a-z][.)])?[\s*_]*", last):
         return True
     bare = text if text[-1] in _ENDS and not text.endswith("..") else without_note(text)
     if not bare:
         return False
     if bare[-1] in _ENDS:
-        word = re.search(r"(\S*)$", bare[:-1])[1].lower()
-        return bare[-1] == "." and (word in {"rs", "no", "pg", "m/s", "dr", "viz"} or bare.count("(") > text.count(")") + 1)
+        if bare[-1] != ".":
+            return False
+        word = bare[:-1].rsplit(None, 1)[-1].lower() if bare[:-1].strip() else ""
+        return (word in {"rs", "no", "pg", "m/s", "dr", "viz"} or bare.count("(") > text.count(")") + 1)
     if bare[-1] in ",:;-–—(/&" or text.count("(") > text.count(")"):
         return True
     return model.likely(bare) < 0.2
@@ -234,10 +235,10 @@ def languages_of(text: str, model: NaiveBayes, least: float = 0.9) -> Counter:
 
 def is_foreign(query: str, response: str, model: NaiveBayes) -> bool:
     """Whether the response is in a language that the query is neither written in nor asks for."""
-    whole, asked_in = model.posterior(response), model.posterior(query)
-    if whole and asked_in and max(whole, key=whole.get) == max(asked_in, key=asked_in.get):
+    whole, asked_in = model.best(response), model.best(query)
+    if whole and whole == asked_in:
         return False
-    meant = set(languages_of(query, model, 0.5)) or {max(p, key=p.get) for p in [asked_in] if p}
+    meant = set(languages_of(query, model, 0.5)) or {x for x in [asked_in] if x}
     body = "\n".join(x for x in response.split("\n") if letters(x) != letters(query))
     said = languages_of(body, model)
     if not said:
