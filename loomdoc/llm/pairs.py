@@ -34,6 +34,18 @@ _DENIES = re.compile(
     r"|jawab (?:nahi|mere paas nahi)|mere paas nahi|(?:nahi|na) (?:kar|keh|bata|de) (?:paunga|sakta|sakti|paungi)\b.*|daayre se bahar|documents? me nahi|main .*nahi (?:de|keh|kar|bata)|mujhe nahi pata"
     r"|असमर्थ हूँ|(?:मैं|मेरे|मुझे)(?: \S+){0,8} (?:नहीं|असमर्थ)|मेरे लिए (?:\S+ )*(?:उचित|संभव) नहीं|मेरे पास|कार्यक्षेत्र से बाहर|किसी और से पूछें|दस्तावेज़(?:ों)? में (?:\S+ )*नहीं|सहायता नहीं कर|जानकारी (?:मेरे पास )?नहीं (?:है|मिली)"
     r"|मी (?:\S+ )*(?:शकत नाही|देऊ शकत)|देता येणार नाही|माहिती उपलब्ध नाही|माझ्याकडे|पারছি না|পারছি না|আমার (?:জানা|কাছে)|কোনো তথ্য নেই|বলতে পার(?:ছি|ব) না|আমি .*না।?$", re.I)
+#: Each denial holds one of these, which are quicker to look for.
+_DENIAL_STEMS = (
+    "not", "n't", "dont", "cant", "wont", "unable", "have no", "decline", "beyond my", "outside", "what i can", "for me to", "can be given", "documents i have", "comment on", "let us talk", "someone else", "be found in",
+    "je ne", "n'ai pas", "hors de mon", "relève", "aucune info", "nahi", "na ", "daayre", "असमर्थ", "नहीं", "मेरे पास", "कार्यक्षेत्र", "किसी और", "शकत", "नाही", "माझ्याकडे", "পারছি", "আমার", "নেই", "পার", "আমি",
+)
+
+
+def denies_in(sentence: str) -> re.Match | None:
+    low = sentence.lower()
+    return _DENIES.search(sentence) if any(x in low for x in _DENIAL_STEMS) else None
+
+
 _FIRST_PERSON_ROMAN = re.compile(r"\b(?:main|mere|mera|mujhe|hum)\b|documents? me nahi", re.I)
 _CLOSES = re.compile(
     r"^\W*(?:(?:please|kindly) (?:contact|ask|try|consult|check|reach|write|refer|raise|visit)|try asking|you may (?:contact|ask)|contact the|ask (?:me )?something|is there anything else|feel free|"
@@ -79,11 +91,12 @@ def is_empty(response: str | None) -> bool:
 
 def is_copy(query: str, response: str) -> bool:
     """Whether the response only gives the question back: in other dress, more than once, or with a word lost."""
+    long = len(response) > 2 * len(query) + 80
+    if long and not any(w in response[:80].lower() for w in (letters(query[:60]) or [""])[:2]):
+        return False  # it does not begin with the question
     asked = letters(query)
     if not asked:
         return False
-    if len(response) > 2 * len(query) + 80 and not any(w in response[:80].lower() for w in asked[:2]):
-        return False  # it does not begin with the question
     if len(set(letters(response)).difference(asked)) > 8:  # more other words than any presentation has
         return False
     times = 0
@@ -114,11 +127,11 @@ def _lost(asked: list[str], said: list[str]) -> bool:
 def is_refusal(response: str) -> bool:
     """Whether every sentence declines, opens with an apology, or only sends elsewhere, and one declines."""
     first = re.split(r"(?<=[.?!।])\s|\n", response.strip(), maxsplit=1)[0]
-    if not (_OPENS.search(first) or _DENIES.search(first) or _CLOSES.search(first) or _NOTE.fullmatch(first)):
+    if not (_OPENS.search(first) or denies_in(first) or _CLOSES.search(first) or _NOTE.fullmatch(first)):
         return False
     declined = False
     for s in sentences(re.sub(r"\s*\n\s*", " ", response)):
-        opens, denies = _OPENS.search(s), _DENIES.search(s)
+        opens, denies = _OPENS.search(s), denies_in(s)
         if denies and re.search(r"nahi", denies[0], re.I) and not opens and not _FIRST_PERSON_ROMAN.search(s) and "jawab" not in s.lower():
             denies = None
         if opens and len(s) < 200 or denies and len(s) < 220:
@@ -142,9 +155,8 @@ def _runs(text: str) -> Iterator[tuple[list[str], bool]]:
         yield words, False
 
 
-def count_ends(texts: list[str]) -> tuple[Counter, Counter, Counter]:
-    """Per context, its places, those before a mark, and those at the end of a text or line without one."""
-    places, marked, bare = Counter(), Counter(), Counter()
+def count_ends(texts: list[str], places: Counter, marked: Counter, bare: Counter) -> None:
+    """Adds, per context, its places, those before a mark, and those at the end of a text or line without one."""
     for text in texts:
         for words, mark in _runs(text):
             for n in ORDERS:
@@ -152,7 +164,6 @@ def count_ends(texts: list[str]) -> tuple[Counter, Counter, Counter]:
                     break
                 places.update(words if n == 1 else [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)])
                 (marked if mark else bare)[" ".join(words[-n:])] += 1
-    return places, marked, bare
 
 
 def last_contexts(text: str) -> list[str]:
@@ -266,9 +277,17 @@ def end_counts(df: DataFrame, response: str, least: int = 5) -> DataFrame:
     """(context, places, marked, bare) over all responses; contexts in fewer than ``least`` places say nothing and are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places, marked, bare = Counter(), Counter(), Counter()
+
+        def counted() -> pd.DataFrame:
+            return pd.DataFrame({"context": pd.Series(list(places), dtype=object), "places": list(places.values()), "marked": [marked.get(c, 0) for c in places], "bare": [bare.get(c, 0) for c in places]})
+
         for batch in batches:
-            places, marked, bare = count_ends(batch["t"].tolist())
-            yield pd.DataFrame({"context": list(places), "places": list(places.values()), "marked": [marked.get(c, 0) for c in places], "bare": [bare.get(c, 0) for c in places]})
+            count_ends(batch["t"].tolist(), places, marked, bare)
+            if len(places) > 300_000:  # partial counts, so that a task's memory is bounded
+                yield counted()
+                places.clear(), marked.clear(), bare.clear()
+        yield counted()
 
     part = df.where(F.col(response).isNotNull()).select(F.col(response).alias("t")).mapInPandas(run, "context string, places long, marked long, bare long")
     return part.groupBy("context").agg(*[F.sum(x).alias(x) for x in ("places", "marked", "bare")]).where(F.col("places") >= least)
