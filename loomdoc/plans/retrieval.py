@@ -9,7 +9,7 @@ from loomdoc import lexicon
 from loomdoc.functions import text as T
 from loomdoc.functions import vector
 from loomdoc.operators import ingest, retrieve
-from loomdoc.operators.similarity import jaccard_join
+from loomdoc.operators.similarity import jaccard_join, nearest_set
 from loomdoc.plans.catalogue import query
 from loomdoc.plans.texts import sql_rules, sql_tokens, sql_topics
 from loomdoc.session import table
@@ -180,6 +180,13 @@ def override_fuzzy(spark, sf_dir):
     return near.groupBy(F.col("l").alias("id")).agg(F.min_by("r", F.struct(-F.col("similarity"), "r")).alias("question_id"), F.round(F.max("similarity"), 6).alias("similarity"))
 
 
+@query()
+def override_fuzzy_all(spark, sf_dir):
+    log = table(spark, sf_dir, "query_log").select(F.col("id").alias("key"), T.tokens(F.col("query")).alias("tokens"))
+    overrides = table(spark, sf_dir, "kpi_test_questions").select(F.col("question_id").alias("key"), T.tokens(F.col("question")).alias("tokens"))
+    return nearest_set(log, overrides, lexicon.FUZZY)
+
+
 @query(f"""WITH d AS (SELECT id, {sql_tokens('max(query)')} AS a, {sql_tokens('max(response)')} AS ra FROM query_log WHERE lower({_STRIP.format('feedback')}) = 'unsatisfied' GROUP BY id), k AS (SELECT DISTINCT question_id, {sql_tokens('question')} AS b, {sql_tokens('ground_truth_context')} AS rb FROM kpi_test_questions WHERE question_id % 20 = 0)
  SELECT question_id, count(*) AS dislikes, -50 * count(*) AS penalty FROM d, k WHERE len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE > 0.4 AND len(list_intersect(ra, rb)) / nullif(len(list_distinct(list_concat(ra, rb))), 0)::DOUBLE > 0.3 GROUP BY question_id""")
 def dislike_penalty(spark, sf_dir):
