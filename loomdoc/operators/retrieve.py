@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdoc import lexicon
 from loomdoc.functions import text as T
 from loomdoc.operators.similarity import jaccard_join
+from loomdoc.session import tasks
+
+#: What a term, rule or topic that question and chunk have in common adds to the score.
+WEIGHTS = {"term": 1, "rule": 20, "topic": 5}
 
 
 def sub_queries(question: Column) -> Column:
@@ -24,6 +33,63 @@ def scored_top(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return q.join(c, "source").select("question_id", "chunk_id", "source", score.cast("long").alias("score")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def _features(text: Column, rules: Column) -> Column:
+    """Terms, rules and topics of a text as one array of distinct hashes, each with its weight in the lowest byte."""
+    mark = lambda kind, c: F.transform(c, lambda x: F.shiftleft(F.xxhash64(F.lit(kind), x), 8).bitwiseOR(F.lit(WEIGHTS[kind]).cast("long")))
+    return F.array_sort(F.concat(mark("term", T.tokens(text)), mark("rule", rules), mark("topic", T.topics(text))))
+
+
+def _feature_blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+    """Blocks of about ``size`` rows of (key, features) by hash of the key: keys, numbers of features, features on end."""
+    n = max(1, math.ceil(df.count() / size))
+    rows = df.select(F.pmod(F.xxhash64("key"), F.lit(n)).alias("b"), F.struct("key", "features").alias("x")).repartition(min(n, tasks(df.sparkSession)), "b")
+    x = rows.groupBy("b").agg(F.collect_list("x").alias("x"))
+    return x.select(F.col("x.key").alias(f"{name}_keys"), F.transform("x", lambda r: F.size(r["features"])).alias(f"{name}_sizes"), F.flatten("x.features").alias(f"{name}_features"))
+
+
+def scored_all(questions: DataFrame, chunks: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(question_id, chunk_id, score, rank): the best k of all chunks for each question, ties by chunk_id.
+
+    Blocks of questions meet blocks of chunks as in ``vector.nearest``; what is ranked at the end is k
+    rows per question and block of chunks. Questions with equal terms, rules and topics are scored
+    once. Chunks that have nothing in common score 0, as in the source-restricted form.
+    """
+    asked = questions.select("question_id", _features(F.col("question"), T.query_rules(F.col("question"))).alias("features")).dropDuplicates()
+    asked = asked.withColumn("key", F.xxhash64("features"))
+    classes = asked.groupBy("key").agg(F.first("features").alias("features"))
+    posts = chunks.select(F.col("chunk_id").alias("key"), _features(F.col("page_content"), T.cited_rules(F.col("page_content"))).alias("features"))
+    pairs = _feature_blocks(classes, block, "q").crossJoin(_feature_blocks(posts, block, "c"))
+
+    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for qk, qn, qf, ck, cn, cf in zip(*[batch[f"{side}_{part}"] for side in "qc" for part in ("keys", "sizes", "features")]):
+                qf, cf = np.asarray(qf, dtype=np.int64), np.asarray(cf, dtype=np.int64)
+                order = np.argsort(np.asarray(ck, dtype=object))
+                place = np.empty(len(order), dtype=np.int64)
+                place[order] = np.arange(len(order))
+                ck = np.asarray(ck, dtype=object)[order]
+                known = np.unique(qf)
+                weights = np.zeros((len(known), len(ck)), dtype=np.uint8)
+                column = np.repeat(place, cn)
+                if len(known):
+                    row = np.minimum(np.searchsorted(known, cf), len(known) - 1)
+                    hit = known[row] == cf
+                    weights[row[hit], column[hit]] = (cf[hit] & 255).astype(np.uint8)
+                ends, rows = np.cumsum(qn), np.searchsorted(known, qf)
+                most, later = min(k, len(ck)), np.arange(len(ck))[::-1]
+                best = np.empty((len(qk), most), dtype=np.int64)
+                for i, (end, n) in enumerate(zip(ends, qn)):
+                    # Score and place in one number, which puts equal scores in order of chunk_id.
+                    ranked = weights[rows[end - n : end]].sum(axis=0, dtype=np.int64) * len(ck) + later
+                    best[i] = np.partition(ranked, len(ck) - most)[len(ck) - most :]
+                yield pd.DataFrame({"key": np.repeat(np.asarray(qk, dtype=np.int64), most), "chunk_id": ck[len(ck) - 1 - best % len(ck)].ravel(), "score": (best // len(ck)).ravel()})
+
+    found = pairs.mapInPandas(top, "key long, chunk_id string, score long")
+    by = Window.partitionBy("key").orderBy(F.desc("score"), "chunk_id")
+    ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return asked.select("question_id", "key").join(ranked, "key").select("question_id", "chunk_id", "score", "rank")
+
+
 def with_continuation(chunks: DataFrame, hit: Column, after: int = 2) -> DataFrame:
     """Chunks that match and the ``after`` next ones of the same file, by key and not by place in the result."""
     keys = ["source_db", "source", "file_path"]

@@ -118,6 +118,12 @@ def retrieve_topk(spark, sf_dir):
     return retrieve.scored_top(questions, _chunks(spark, sf_dir), 7).select("question_id", "chunk_id", "score", "rank")
 
 
+@query(f"""SELECT question_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM {_SCORED.replace('c ON c.source = q.source_file)', 'c ON true)')} QUALIFY rank <= 7""")
+def retrieve_topk_all(spark, sf_dir):
+    questions = table(spark, sf_dir, "kpi_test_questions").where("question_id % 20 = 0").select("question_id", "question").dropDuplicates()
+    return retrieve.scored_all(questions, _chunks(spark, sf_dir), 7)
+
+
 @query(f"""WITH m AS (SELECT DISTINCT source_db, source, file_path, chunk_index, chunk_id, regexp_matches(lower(page_content), '(rule|नियम) 1\\d\\d([^0-9]|$)') AS hit FROM {_LATEST})
  SELECT DISTINCT c.chunk_id FROM m c JOIN m h ON c.source_db = h.source_db AND c.source = h.source AND c.file_path = h.file_path AND c.chunk_index BETWEEN h.chunk_index AND h.chunk_index + 2 WHERE h.hit""")
 def rule_filter_continuation(spark, sf_dir):
