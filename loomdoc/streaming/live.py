@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomdoc.session import checkpoint_dir
 
@@ -35,26 +32,14 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, live, "complete")
 
 
-def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Sessions of one user: a touch later than an hour after the last opens a new one; the state holds the open session."""
-    start, last, n = state.get if state.exists else (None, None, 0)
-    out = []
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame([(key[0], start, last, n)], columns=["user_id", "started", "ended", "events"])
-        return
-    for t in sorted(t for b in batches for t in b["micros"]):
-        if last is not None and t - last > 3_600_000_000:
-            out.append((key[0], start, last, n))
-            start, n = None, 0
-        start, last, n = t if start is None else start, t, n + 1
-    state.update((start, last, n))
-    state.setTimeoutTimestamp(last // 1000 + 3_600_001)
-    yield pd.DataFrame(out, columns=["user_id", "started", "ended", "events"])
-
-
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed sessions per user from a stream of events with a watermark of a day."""
-    events = event_stream(spark, sf_dir).withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").select("user_id", "ts", "micros")
-    live = events.groupBy("user_id").applyInPandasWithState(track, "user_id long, started long, ended long, events long", "start long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
-    return _run(spark, live, "append")
+    """Sessions per user from a stream of events, closed and still open: a touch later than an hour after the last opens a new one.
+
+    Sorted rows are merged one after another, with no list of a user's events. Complete mode gives the
+    sessions that are open when the input ends as well as the closed ones, and drops no late event;
+    its state holds every session.
+    """
+    events = event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).where("user_id is not null and ts is not null")
+    micros = F.unix_micros("ts")
+    live = events.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.min(micros).alias("started"), F.max(micros).alias("ended"), F.count("*").alias("events"))
+    return _run(spark, live.select("user_id", "started", "ended", "events"), "complete")
