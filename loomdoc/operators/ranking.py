@@ -36,3 +36,29 @@ def spread_positions(df: DataFrame, keys: list[str], order: list[Column], out: s
         .withColumn(out, (F.col("_inside") + F.coalesce("_before", F.lit(0))).cast("long"))
         .drop("_range", "_inside", "_r", "_before", *[f"_k{i}" for i in range(len(keys))])
     )
+
+
+def spread_before(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str = "before", partitions: int | None = None) -> DataFrame:
+    """Adds the sum of ``value`` over the earlier rows of each row's group of ``keys`` in ``order``; 0 for the first.
+
+    Ranges as in ``spread_positions``: sums inside a range are moved on by the sums of the group's earlier ranges.
+    """
+    n = partitions or tasks(df.sparkSession)
+    ranged = cut(df.repartitionByRange(n, *[F.col(k).asc() for k in keys], *order).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        ranged.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
+        .withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+        .where("_before != 0")
+        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "_before")
+    )
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return (
+        summed.join(offsets, same, "left")
+        .withColumn(out, F.col("_inside") + F.coalesce("_before", F.lit(0)))
+        .drop("_range", "_inside", "_r", "_before", *[f"_k{i}" for i in range(len(keys))])
+    )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomdoc import lexicon
 from loomdoc.functions import text as T
+from loomdoc.operators.ranking import spread_before
 from loomdoc.operators.similarity import jaccard_join
 from loomdoc.session import tasks
 
@@ -101,11 +102,10 @@ def pack_context(chunks: DataFrame, keys: list[str], order: str, key: str, text:
     """(keys, key, taken): how many characters of each chunk go into the context of its group, in reading order.
 
     Taking stops at the first chunk that does not fit; a part of it is taken if more than LEAST_REST
-    characters are left. A running sum decides this exactly. Groups are files, whose size is bounded.
+    characters are left. A running sum decides this exactly, over ranges of each group, whose size is not bounded.
     """
     n = F.least(F.length(text), F.lit(lexicon.CHUNK_CHARS))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order, key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    summed = chunks.select(*keys, key, order, n.alias("n")).withColumn("before", before)
+    summed = spread_before(chunks.select(*keys, key, order, n.alias("n")), keys, [F.col(order).asc(), F.col(key).asc()], "n")
     fits = F.col("before") + F.col("n") <= most
     return summed.where(fits | ((F.col("before") <= most) & (most - F.col("before") > lexicon.LEAST_REST))).select(*keys, key, F.when(fits, F.col("n")).otherwise(most - F.col("before")).cast("long").alias("taken"))
 
