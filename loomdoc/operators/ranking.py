@@ -1,4 +1,4 @@
-"""Positions within groups without sorting a group in one task."""
+"""Positions within groups, and joins by keys, without gathering a hot group in one task."""
 
 from __future__ import annotations
 
@@ -62,3 +62,14 @@ def spread_before(df: DataFrame, keys: list[str], order: list[Column], value: st
         .withColumn(out, F.col("_inside") + F.coalesce("_before", F.lit(0)))
         .drop("_range", "_inside", "_r", "_before", *[f"_k{i}" for i in range(len(keys))])
     )
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """``left`` joined with the rows of ``right``, unique by ``keys``, where very many rows of ``left`` have the same keys.
+
+    ``hot`` tells on ``right`` which keys these are; the caller proves that there are few. Their rows are broadcast, so
+    that the rows of ``left`` stay where they are; all others meet by a shuffle. Both sides are read twice: cut them.
+    """
+    few = F.broadcast(right.where(hot))
+    rest = left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(right.where(~hot), keys)
+    return left.join(few, keys).unionByName(rest)
