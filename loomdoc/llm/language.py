@@ -26,10 +26,10 @@ LABELS = {
     "mr": "mr", "mar": "mr", "marathi": "mr", "मराठी": "mr", "bn": "bn", "ben": "bn", "bengali": "bn", "bangla": "bn", "বাংলা": "bn",
     "fr": "fr", "fra": "fr", "fre": "fr", "french": "fr", "français": "fr", "francais": "fr",
 }
-#: Labelled rows per language that the models are fitted on.
-SAMPLE_ROWS = 1500
+#: Labelled rows per language that the models are fitted on, drawn in parts by hash: the rank in a part is limited before the shuffle.
+SAMPLE_ROWS, PARTS = 1500, 4
 #: Words after whose full stop a sentence goes on.
-_ABBREVIATIONS = {"rs", "no", "nos", "m/s", "mr", "mrs", "ms", "dr", "smt", "shri", "sh", "km", "pg", "p", "viz", "e.g", "i.e", "रु", "क्र", "सं", "डॉ", "art", "st", "sec", "cl", "q", "a", "ans"}
+ABBREVIATIONS = {"rs", "no", "nos", "m/s", "mr", "mrs", "ms", "dr", "smt", "shri", "sh", "km", "pg", "p", "viz", "e.g", "i.e", "रु", "क्र", "सं", "डॉ", "art", "st", "sec", "cl", "q", "a", "ans"}
 _BENGALI, _DEVANAGARI = re.compile("[ঀ-৿]"), re.compile("[ऀ-ॿ]")
 _LETTER = re.compile(r"[^\W\d_]")
 _INDIC = re.compile("[ऀ-৿]")
@@ -67,81 +67,83 @@ def script_languages(text: str) -> tuple[str, ...]:
     return ("en", "fr", "hi-Latn")
 
 
-#: Letters keep their code, all else is a space; combining signs of Indic scripts are letters.
+#: Letters keep their code, all else is a space; combining signs of Indic scripts are letters. Code 1 parts texts.
 _FOLD = np.full(0x3000, 32, dtype=np.uint32)
 for _c in range(0x3000):
     if chr(_c).isalpha() or 0x900 <= _c < 0xE00 and _c not in (0x964, 0x965) and not chr(_c).isdigit():
         _FOLD[_c] = _c
-_SLOTS = 1 << 16
-
-
-def codes(text: str) -> np.ndarray:
-    """Folded code points of a text between two spaces, with one space between words."""
-    c = _FOLD[np.minimum(np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), dtype=np.uint32), 0x2FFF)]
+_FOLD[1] = 1
+_SLOTS = 1 << 18
+#: Characters that are scored at once.
+_SPAN = 200_000
+#: Which languages each kind of text may be in: none without letters, else by script.
+_ALLOWED = np.array([[0, 0, 0, 0, 0, 0], [0, 0, 0, 0, 1, 0], [0, 1, 0, 1, 0, 0], [1, 0, 1, 0, 0, 1]], dtype=bool)
+
+
+def codes(texts: list[str]) -> np.ndarray:
+    """Folded code points of texts, each between two spaces and after a 1, with one space between words."""
+    joined = "".join(f"\x01 {t} " for t in (x.replace("\x01", " ") for x in texts)).lower()
+    c = _FOLD[np.minimum(np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32), 0x2FFF)]
     keep = np.ones(len(c), dtype=bool)
     keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
     return c[keep]
 
 
-def allowed_languages(c: np.ndarray) -> tuple[str, ...]:
-    """script_languages of folded codes; none where there is no letter."""
-    blocks = np.bincount(c >> 7, minlength=20)  # of 128 codes: Devanagari is the 18th, Bengali the 19th
-    devanagari, bengali, letters = int(blocks[18]), int(blocks[19]), len(c) - int(np.count_nonzero(c == 32))
-    if not letters:
-        return ()
-    if bengali > devanagari and bengali * 3 >= letters:
-        return ("bn",)
-    if devanagari and devanagari * 4 >= letters:
-        return ("hi", "mr")
-    return ("en", "fr", "hi-Latn")
-
-
 class NaiveBayes:
-    """Character n-gram naive Bayes: log-probabilities of hashed n-grams, per language."""
+    """Character n-gram naive Bayes: log-probabilities of hashed n-grams, per language. Texts are scored many at a time."""
 
     def __init__(self, texts: dict[str, list[str]], sizes: tuple[int, ...] = (1, 2, 3), table: np.ndarray | None = None):
         self.sizes = sizes
         self.table = self.fitted(texts) if table is None else table
-        self.posterior = lru_cache(maxsize=50_000)(self._posterior)
-        self.best = lru_cache(maxsize=50_000)(self._best)
-        self.columns = {x: np.ascontiguousarray(self.table[:, [LANGUAGES.index(y) for y in x]]) for x in (("hi", "mr"), ("en", "fr", "hi-Latn"))}
-
-    def _best(self, text: str) -> str | None:
-        """The language of the greatest posterior; none without letters."""
-        c = codes(text)
-        allowed = allowed_languages(c)
-        if len(allowed) < 2:
-            return allowed[0] if allowed else None
-        return allowed[int(self.columns[allowed][self.grams(c)].sum(axis=0).argmax())]
 
     def fitted(self, texts: dict[str, list[str]]) -> np.ndarray:
         table = np.zeros((_SLOTS, len(LANGUAGES)), dtype=np.float32)
         for j, lang in enumerate(LANGUAGES):
-            found = [self.grams(codes(t)) for t in texts.get(lang, ())]
-            counts = np.bincount(np.concatenate(found), minlength=_SLOTS).astype(float) if found else np.zeros(_SLOTS)
+            counts = np.zeros(_SLOTS)
+            for begin in range(0, len(texts.get(lang, ())), 1000):
+                c = codes(texts[lang][begin : begin + 1000])
+                for slots, _ in self.grams(c, np.cumsum(c == 1) - 1):
+                    counts += np.bincount(slots, minlength=_SLOTS)
             table[:, j] = np.log(counts + 0.02) - math.log(counts.sum() + 0.02 * _SLOTS)
         return table
 
-    def grams(self, c: np.ndarray) -> np.ndarray:
-        out = []
+    def grams(self, c: np.ndarray, text_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each size the slots of the n-grams inside a text, and the text of each."""
         for n in self.sizes:
             h = np.full(max(0, len(c) - n + 1), n, dtype=np.uint32)
             for i in range(n):
                 h = h * np.uint32(2654435761) + c[i : len(c) - n + 1 + i]
-            out.append((h ^ (h >> np.uint32(15))) % _SLOTS)
-        return np.concatenate(out)
-
-    def _posterior(self, text: str) -> dict[str, float]:
-        """Posterior of each language that the script allows; tempered, since the n-grams overlap."""
-        c = codes(text)
-        allowed = allowed_languages(c)
-        if not allowed:
-            return {}
-        if len(allowed) == 1:
-            return {allowed[0]: 1.0}
-        score = self.columns[allowed][self.grams(c)].sum(axis=0) / len(self.sizes)
-        p = np.exp(score - score.max())
-        return dict(zip(allowed, (p / p.sum()).tolist()))
+            inside = (c[: len(h)] != 1) & (text_of[: len(h)] == text_of[n - 1 :])
+            yield ((h ^ (h >> np.uint32(15))) % np.uint32(_SLOTS))[inside], text_of[: len(h)][inside]
+
+    def posteriors(self, texts: list[str]) -> list[tuple[str | None, float]]:
+        """Per text the language of the greatest posterior among those that its script allows, and that posterior; tempered, since the n-grams overlap. None without letters."""
+        out: list[tuple[str | None, float]] = []
+        begin = size = 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= _SPAN or i + 1 == len(texts):
+                out += self._posteriors(texts[begin : i + 1])
+                begin, size = i + 1, 0
+        return out
+
+    def _posteriors(self, texts: list[str]) -> list[tuple[str | None, float]]:
+        c = codes(texts)
+        text_of = np.cumsum(c == 1) - 1
+        blocks = c >> 7  # of 128 codes: Devanagari is the 18th, Bengali the 19th
+        count = lambda which: np.bincount(text_of[which], minlength=len(texts))
+        letters, devanagari, bengali = count(c > 32), count(blocks == 18), count(blocks == 19)
+        kind = np.where(letters == 0, 0, np.where((bengali > devanagari) & (bengali * 3 >= letters), 1, np.where((devanagari > 0) & (devanagari * 4 >= letters), 2, 3)))
+        score = np.zeros((len(texts), len(LANGUAGES)))
+        for slots, owner in self.grams(c, text_of):
+            if len(slots):
+                first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+                score[owner[first]] += np.add.reduceat(self.table[slots], first, axis=0)
+        score = np.where(_ALLOWED[kind], score / len(self.sizes), -np.inf)
+        score[kind == 0] = 0.0
+        best = score.argmax(axis=1)
+        p = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
+        return [(LANGUAGES[j], q) if k else (None, 0.0) for j, q, k in zip(best.tolist(), p.tolist(), kind.tolist())]
 
 
 class SuffixAutomaton:
@@ -201,15 +203,21 @@ class CrossParser:
         return self.language(plain(text), script_languages(text))
 
 
+_SENTENCE_END = re.compile(r"[.?!।॥…]+[\"'”’)\]]*(?=\s|$)")
+_LINE, _LINE_OR_SLASH = re.compile(r"[\r\n]+"), re.compile(r"[\r\n]+|\s+[/|]\s+")
+
+
 def sentences(text: str) -> list[str]:
     """Whole sentences: cut at ends of sentences, line breaks and spaced slashes or bars."""
     out = []
-    for line in re.split(r"[\r\n]+|\s+[/|]\s+", text):
+    for line in (_LINE_OR_SLASH if "/" in text or "|" in text else _LINE).split(text):
         start = 0
-        for m in re.finditer(r"[.?!।॥…]+[\"'”’)\]]*(?=\s|$)", line):
-            word = re.search(r"(\S*)$", line[start : m.start()])[1].lower().lstrip("(\"'“")
-            if m[0][0] == "." and (word in _ABBREVIATIONS or len(word) == 1 and word.isalpha() or word.isdigit() and m.start() - start <= 3):
-                continue
+        for m in _SENTENCE_END.finditer(line):
+            if line[m.start()] == ".":
+                head = line[start : m.start()]
+                word = head.rsplit(None, 1)[-1].lower().lstrip("(\"'“") if head and not head[-1].isspace() else ""
+                if word in ABBREVIATIONS or len(word) == 1 and word.isalpha() or word.isdigit() and m.start() - start <= 3:
+                    continue
             out.append(line[start : m.end()])
             start = m.end()
         out.append(line[start:])
@@ -245,29 +253,25 @@ def segments(text: str, parser: CrossParser) -> list[tuple[str, str, float]]:
 
 
 def labelled_sample(questions: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
-    """At most ``rows`` labelled texts per language, drawn by hash of the key. Sentences that naive Bayes is sure are in another language count to that one.
+    """At most ``rows`` labelled texts per language, as many from each of PARTS parts, drawn by hash of the key. Sentences that naive Bayes is sure are in another language count to that one.
 
     This bounded sample is all that comes to the driver. Nulls in key, text or label are left out.
     """
-    by = Window.partitionBy("lang").orderBy(F.xxhash64(key), key)
+    part = F.pmod(F.xxhash64(key, F.lit("part")), F.lit(PARTS))
+    by = Window.partitionBy("lang", "part").orderBy(F.xxhash64(key), key)
     drawn = (
-        questions.select(key, F.col(text).alias("text"), label_column(F.col(label)).alias("lang")).where(f"lang is not null and text is not null and {key} is not null")
-        .withColumn("n", F.row_number().over(by)).where(F.col("n") <= rows).select("text", "lang").collect()
+        questions.select(key, F.col(text).alias("text"), label_column(F.col(label)).alias("lang"), part.alias("part")).where(f"lang is not null and text is not null and {key} is not null")
+        .withColumn("n", F.row_number().over(by)).where(F.col("n") <= rows // PARTS).orderBy("lang", key).select("text", "lang").collect()
     )
     pairs = [(s, r["lang"]) for r in drawn for s in sentences(r["text"]) if len(_LETTER.findall(s)) > 2]
     kept = [(s, lang) for s, lang in pairs if lang in script_languages(s)]
     for _ in range(3):
         model = NaiveBayes({x: [t for t, lang in kept if lang == x] for x in LANGUAGES})
-        kept = [(t, best) for t, lang in pairs if (p := model.posterior(t)) and ((best := max(p, key=p.get)) == lang or p[best] > 0.999)]
-
-    def whole(t: str, lang: str) -> bool:
-        """Whether no part of a sentence is in another language for certain."""
-        words = t.split()
-        parts = [words[: len(words) // 2], words[len(words) // 2 :], words[:5], words[-5:]]
-        return all(len(part) < 3 or not (p := model.posterior(" ".join(part))) or (best := max(p, key=p.get)) == lang or p[best] < 0.995 for part in parts)
-
-    kept = [(t, lang) for t, lang in kept if whole(t, lang)]
-    return {x: [t for t, lang in kept if lang == x] for x in LANGUAGES}
+        kept = [(t, best) for (t, lang), (best, p) in zip(pairs, model.posteriors([t for t, _ in pairs])) if best and (best == lang or p > 0.999)]
+    # a sentence no part of which is in another language for certain
+    halves = [(i, lang, " ".join(part)) for i, (t, lang) in enumerate(kept) for w in [t.split()] for part in (w[: len(w) // 2], w[len(w) // 2 :], w[:5], w[-5:]) if len(part) >= 3]
+    mixed = {i for (i, lang, _), (best, p) in zip(halves, model.posteriors([t for _, _, t in halves])) if best and best != lang and p >= 0.995}
+    return {x: [t for i, (t, lang) in enumerate(kept) if lang == x and i not in mixed] for x in LANGUAGES}
 
 
 def label_languages(records: DataFrame, sample: dict[str, list[str]]) -> DataFrame:

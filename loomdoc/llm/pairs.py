@@ -10,13 +10,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.language import LANGUAGES, NaiveBayes, script_languages, sentences
+from loomdoc.llm.language import ABBREVIATIONS, NaiveBayes, script_languages, sentences
+from loomdoc.operators.ranking import spread_join
+from loomdoc.session import cut
 
 #: Stand-ins for nothing said, and bare labels that a response is introduced with.
 STAND_INS = {"null", "none", "nan", "nil", "n/a", "na", "undefined", "empty", "no response", "no answer", "tbd", "not available", "no reply", "blank", "nat"}
@@ -59,10 +61,11 @@ _ASKS = (
     ("bn", re.compile(r"\bin (?:bengali|bangla)\b|(?:bangla|bengali) (?:me|mein)\b|बंगाली में|बांग्ला में|বাংলায়|en bengali", re.I)),
     ("fr", re.compile(r"\bin french\b|french (?:me|mein)\b|फ्रेंच (?:में|मध्ये)|ফরাসিতে|en français", re.I)),
 )
+_NOTE_WORD = re.compile(r"for details|please see|see|source|ref|स्रोत|উৎস|srot|page|pg|p\.|पृष्ठ|पान|পৃষ্ঠা", re.I)
 _NOTE = re.compile(
-    r"[\s\-–—]*[(\[]?\s*(?:(?:for details |please )?see (?:also )?(?:rule|annexure|annex|clause|section|para|page|chapter|appendix|form)\s*[\dA-Z][\d.]*(?:\s*\([ivx\d]+\))?|(?:source|ref(?:erence)?|स्रोत|उৎস|srot)[.: ]{1,2}[^\n.।]{0,120}\d|(?:page|pg\.?|p\.|पृष्ठ|पान|পৃষ্ঠা)\s*(?:no\.?\s*)?[\d०-९০-৯]+(?:\s*(?:of|/)\s*\d+)?)\s*[)\]]?\s*$", re.I)
+    r"[\s\-–—]*[(\[]?\s*(?:(?:for details |please )?see (?:also )?(?:rule|annexure|annex|clause|section|para|page|chapter|appendix|form)\s*[\dA-Z][\d.]*(?:\s*\([ivx\d]+\))?|(?:source|ref(?:erence)?|स्रोत|उৎস|srot)[.: ]{1,2}[^\n.।]*\d|(?:page|pg\.?|p\.|पृष्ठ|पान|পৃষ্ঠা)\s*(?:no\.?\s*)?[\d०-९০-৯]+(?:\s*(?:of|/)\s*\d+)?)\s*[)\]]?\s*$", re.I)
 _ENDS = ".?!।॥|"
-_WORD = re.compile(r"\d+(?:[.,/:-]\d+)*|[^\W_]+(?:[^\W_]|[ऀ-ॣঀ-ৣ‍‌'’-])*|[.?!।॥\n]")
+_WORD = re.compile(r"\d+(?:[.,/:-]\d+)*|[^\W_]+(?:[^\W_]|[ऀ-ॣঀ-ৣ‍‌'’-])*|\.\.+|[.…?!।॥\n]")
 #: Words that no sentence ends in: conjunctions, prepositions, determiners and their like.
 DANGLING = set(
     "a an the this that these which of to in for with by and or but because if when where under from as at on into than may can shall will must not be is are was were so such while until unless although "
@@ -71,49 +74,81 @@ DANGLING = set(
     "और लेकिन क्योंकि यदि अगर कि के की का को में पर से जो जिस जिसके जिसमें तथा या इस उस इसके उसके बाद द्वारा अंतर्गत ताकि परंतु किंतु एवं "
     "आणि पण कारण जर त्यानंतर किंवा ज्या त्या ची चे चा च्या मध्ये साठी परंतु मात्र "
     "এবং কিন্তু কারণ যদি তারপর বা এই সেই যে এর জন্য থেকে তবে অথবা যার".split())
-#: Lengths of the word contexts that ends are counted after.
-ORDERS = (1, 2, 4, 6)
+#: Lengths of the word contexts that ends are counted after; the start of a sentence or line counts as a word.
+ORDERS = (1, 2, 3, 4, 5, 6)
+#: Share of all responses that an unmarked ending must close to be a usual one. A cut falls on any character, so each particular one is far rarer.
+USUAL = 0.001
+#: Occurrences of a context, or of an unmarked ending, below which it says nothing.
+LEAST = 5
+#: Characters that are counted or judged at once in a task.
+_CHUNK = 2_000_000
 
 
 def letters(text: str) -> list[str]:
     return re.findall(r"[^\W_](?:[^\W_]|[ऀ-ॣঀ-ৣ‍‌])*", re.sub(r"(?<=\d)[,.](?=\d)", "", text.lower()))
 
 
+_WRAPPER = re.compile(r"<[^<>]*>|&(?:[a-z]+|#\d+);|```\w*", re.I)
+
+
 def is_empty(response: str | None) -> bool:
     if response is None:
         return True
-    if len(response) > 200:
-        return re.search(r"[^\W_]", response) is None
-    x = re.sub(r"<[^>]{0,40}>|&nbsp;|```\w*", " ", response)
+    x = _WRAPPER.sub(" ", response) if "<" in response or "&" in response or "`" in response else response
+    for _ in re.finditer(r"[^\W_]", x):  # the first letter or digit, if there is one
+        break
+    else:
+        return True
+    bare = x.strip()
+    if len(bare) > _LONGEST and "  " not in bare and "\n" not in bare and not _PADDED.search(bare):
+        return False  # words in a row are more than any stand-in or label has
     words = " ".join(letters(x))
     return not words or words in STAND_INS or words in BARE or words.replace(" ", "/") in STAND_INS
 
 
+_LONGEST = 4 * max(map(len, STAND_INS | BARE))
+_PADDED = re.compile(r"[\W_]{3}")
+
+
 def is_copy(query: str, response: str) -> bool:
-    """Whether the response only gives the question back: in other dress, more than once, or with a word lost."""
-    long = len(response) > 2 * len(query) + 80
-    if long and not any(w in response[:80].lower() for w in (letters(query[:60]) or [""])[:2]):
-        return False  # it does not begin with the question
+    """Whether the response only gives the question back: in other dress, behind an introduction, more than once, or with a word lost for every eight."""
     asked = letters(query)
     if not asked:
         return False
-    if len(set(letters(response)).difference(asked)) > 8:  # more other words than any presentation has
-        return False
-    times = 0
+    may_lose, low = max(1, len(asked) // 8), response.lower()
+    if "," in query or "." in query or "," in response:
+        low = re.sub(r"(?<=\d)[,.](?=\d)", "", low)
+    missing = 0
+    for w in asked:
+        if w not in low:
+            missing += 1
+            if missing > may_lose:
+                return False
     parts: list[str] = []
-    for line in re.split(r"\n+", response):
+    lines = re.split(r"\n+", response)
+    for line in lines:
         previous = None
         while previous != line:
             previous, line = line, _PRESENTED.sub("", line)
         parts += letters(line)
     n = len(asked)
-    if parts == asked:
-        return True
+    times = 0
     while parts[:n] == asked:
         parts, times = parts[n:], times + 1
     if times:
         return not parts or " ".join(parts) in BARE or _lost(asked, parts)
-    return _lost(asked, parts)
+    if _lost(asked, parts):
+        return True
+    for m in _INTRODUCED.finditer(response):  # a sentence that introduces the question, and nothing after it
+        rest = letters(response[m.end() :])
+        if len(rest) <= n and (rest == asked or _lost(asked, rest)) and _ASKING.search(response[: m.end()]):
+            return True
+    return False
+
+
+_INTRODUCED = re.compile(r"[:–—\n]")
+#: Words that an introduction of the question has.
+_ASKING = re.compile(r"\b(?:question|query|asked|ask|prompt|poocha|sawal|demandé|demande)\b|प्रश्न|पूछा|सवाल|विचार|প্রশ্ন", re.I)
 
 
 def _lost(asked: list[str], said: list[str]) -> bool:
@@ -134,47 +169,80 @@ def is_refusal(response: str) -> bool:
         opens, denies = _OPENS.search(s), denies_in(s)
         if denies and re.search(r"nahi", denies[0], re.I) and not opens and not _FIRST_PERSON_ROMAN.search(s) and "jawab" not in s.lower():
             denies = None
-        if opens and len(s) < 200 or denies and len(s) < 220:
+        if opens or denies:
             declined = True
         elif not _CLOSES.search(s) and not _NOTE.fullmatch(s):
             return False
     return declined
 
 
-def _runs(text: str) -> Iterator[tuple[list[str], bool]]:
-    """The words of each stretch between marks and line breaks, numbers as one word, and whether a mark ends it."""
-    words: list[str] = []
-    for w in _WORD.findall(text.lower()):
-        if w in ".?!।॥\n":
-            if words:
-                yield words, w != "\n"
-            words = []
-        else:
-            words.append("0" if w[0].isdigit() else w)
-    if words:
-        yield words, False
-
-
-def count_ends(texts: list[str], places: Counter, marked: Counter, bare: Counter) -> None:
-    """Adds, per context, its places, those before a mark, and those at the end of a text or line without one."""
-    for text in texts:
-        for words, mark in _runs(text):
-            for n in ORDERS:
-                if n > len(words):
-                    break
-                places.update(words if n == 1 else [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)])
-                (marked if mark else bare)[" ".join(words[-n:])] += 1
+_MARKS = frozenset(".…?!।॥\n")
+_BOUND, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_contexts(texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Of the words and marks of all texts, a line break after each: what they are (0 a word, 1 a mark, 2 a break or dots of omission, 3 the point of an abbreviation),
+    and for each length in ORDERS the places that have a context of that length, and its hash."""
+    words = np.array(_WORD.findall("\n".join(texts).lower() + "\n"), dtype=object)
+    code, known = pd.factorize(words)
+    kind_of = np.array([0 if w[0] not in _MARKS else 2 if w == "\n" or w[0] == "…" or w[:2] == ".." else 1 for w in known], dtype=np.int8)
+    hash_of = pd.util.hash_array(np.array(["0" if w[0].isdigit() else w for w in known], dtype=object), categorize=False)
+    hash_of[kind_of > 0] = _BOUND
+    kind, h = kind_of[code], hash_of[code]
+    short = np.array([w in ABBREVIATIONS for w in known])[code]
+    kind[1:][(kind[1:] == 1) & short[:-1]] = 3  # the point of an abbreviation ends nothing
+    at = np.arange(len(h))
+    since = at - np.maximum.accumulate(np.where(kind > 0, at, -1))  # words since the last mark; the first text follows one
+    rolled, out = np.zeros(len(h), dtype=np.uint64), []
+    with np.errstate(over="ignore"):
+        for n in ORDERS:
+            shifted = np.full(len(h), _BOUND, dtype=np.uint64)
+            shifted[n - 1 :] = h[: max(0, len(h) - n + 1)]
+            rolled = (rolled ^ shifted) * _STEP + np.uint64(n)
+            place = np.flatnonzero((kind == 0) & (since >= max(1, n - 1)))
+            out.append((place, (rolled[place] ^ (rolled[place] >> np.uint64(31))).view(np.int64)))
+    return kind, out
+
+
+def count_ends(texts: list[str]) -> pd.DataFrame:
+    """Per context its places, those before a mark, and those at the end of a text or line without one."""
+    kind, contexts = word_contexts(texts)
+    parts = [(found, kind[place + 1]) for place, found in contexts]
+    return count_table(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
+
+
+def count_table(context: np.ndarray, after: np.ndarray) -> pd.DataFrame:
+    order = np.argsort(context, kind="stable")
+    context, after = context[order], after[order]
+    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, dtype=int)
+    sums = [np.add.reduceat(x.astype(np.int64), first) if len(first) else np.zeros(0, dtype=np.int64) for x in (np.ones(len(after)), after == 1, after == 2)]
+    return pd.DataFrame({"context": context[first], "places": sums[0], "marked": sums[1], "bare": sums[2]})
+
+
+_RUN_END = re.compile(r"[?!।॥…\n]|\.(?!\d)")
+
+
+def last_run(text: str) -> str:
+    """The words after the last mark or line break of a text; nothing where a mark ends it."""
+    text = text.rstrip()
+    return "" if text[-1:] in _MARKS else _RUN_END.split(text)[-1]
+
+
+def last_contexts(texts: list[str]) -> list[list[tuple[int, int]]]:
+    """(length, context) of the end of each text that no mark ends."""
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    kind, contexts = word_contexts([last_run(t) for t in texts])
+    line = kind == 2  # a last run has no dots
+    text_of = np.cumsum(line) - line
+    ends = np.zeros(len(kind), dtype=bool)
+    ends[:-1] = line[1:]
+    for n, (place, found) in zip(ORDERS, contexts):
+        here = ends[place]
+        for k, c in zip(text_of[place[here]].tolist(), found[here].tolist()):
+            out[k].append((n, c))
+    return out
 
 
-def last_contexts(text: str) -> list[str]:
-    last = None
-    for last in _runs(text.rstrip()):
-        pass
-    return [" ".join(last[0][-n:]) for n in ORDERS if n <= len(last[0])] if last and not last[1] else []
-
-
-#: A closing note is no longer than this.
-_NOTE_SIZE = 200
 _CLOSERS = " \t\r\n*_\"'”’»)]"
 
 
@@ -182,11 +250,18 @@ def without_note(text: str) -> str:
     """The text without the page notes, closing marks and dots of omission at its end."""
     bare = text.rstrip()
     while True:
-        head, tail = bare[:-_NOTE_SIZE], bare[-_NOTE_SIZE:]
-        shorter = (head + _NOTE.sub("", tail)).rstrip()
-        if shorter == bare or not shorter:
+        begin = bare.rfind("\n") + 1
+        for word in _NOTE_WORD.finditer(bare, begin):
+            at = word.start()
+            while at > begin and bare[at - 1] in " \t-–—([":
+                at -= 1
+            if _NOTE.match(bare, at):
+                break
+        else:
+            break
+        if not bare[:at].strip():
             break
-        bare = shorter
+        bare = bare[:at].rstrip()
     bare = bare.rstrip(_CLOSERS)
     return bare.rstrip(".… ") if bare.endswith(("..", "…")) else bare
 
@@ -194,21 +269,20 @@ def without_note(text: str) -> str:
 class EndModel:
     """How likely a text ends after its last words: the share of ends among all places of the longest known context.
 
-    Ends without a mark count where they are a usual close, in one of a thousand responses or more: cut words
-    stand at ends only, too, but each of them is rare.
+    Ends without a mark count where they are a usual close: after USUAL of all responses, and not in a word that
+    no sentence ends in.
     """
 
-    def __init__(self, counts: dict[str, tuple[int, int, int]], responses: int):
-        self.counts, self.usual = counts, max(4, responses // 1000)
+    def __init__(self, counts: dict[int, tuple[int, int, int]], responses: int):
+        self.counts, self.usual = counts, max(LEAST, USUAL * responses)
 
     def likely(self, text: str) -> float:
-        contexts = last_contexts(text)
-        if contexts and contexts[0] in DANGLING:
-            return 0.0
-        for context in reversed(contexts):
-            places, marked, bare = self.counts.get(context, (0, 0, 0))
-            if places >= 5:
-                return (marked + (bare - 1 if bare >= max(self.usual, 0.9 * places) and len(context) > 3 else 0)) / (places - 1)
+        words = _WORD.findall(last_run(text).lower())
+        hangs = not words or words[-1] in DANGLING
+        for n in reversed(ORDERS):
+            places, marked, bare = self.counts.get(n, (0, 0, 0))
+            if places >= LEAST:
+                return (marked + (bare - 1 if bare >= self.usual and not hangs else 0)) / (places - 1)
         return 0.0
 
 
@@ -216,7 +290,7 @@ def is_truncated(response: str, model: EndModel) -> bool:
     """Whether the text breaks off: inside a bracket, a list item or a sentence."""
     text = response.rstrip()
     last = text.rsplit("\n", 1)[-1].strip()
-    if len(last) < 12 and re.fullmatch(r"(?:[-*•]|\(?\d{1,2}[.)]|\(?[a-z][.)])?[\s*_]*", last):
+    if re.fullmatch(r"(?:[-*•]|\(?\d{1,2}[.)]|\(?[a-z][.)])?[\s*_]*", last):
         return True
     bare = text if text[-1] in _ENDS and not text.endswith("..") else without_note(text)
     if not bare:
@@ -231,65 +305,101 @@ def is_truncated(response: str, model: EndModel) -> bool:
     return model.likely(bare) < 0.2
 
 
-def languages_of(text: str, model: NaiveBayes, least: float = 0.9) -> Counter:
-    """Letters per language over the sentences of a text that naive Bayes is sure of."""
-    found: Counter = Counter()
-    for s in sentences(text):
-        size = len(letters(s))
-        if size < 3:
-            continue
-        p = model.posterior(s)
-        if p and p[best := max(p, key=p.get)] >= least:
-            found[best] += size
-    return found
-
+def foreign(pairs: list[tuple[str, str]], model: NaiveBayes, sure: float = 0.9, may_be: float = 0.5) -> list[bool]:
+    """Per (query, response), whether the response is in a language that the query is neither written in nor asks for.
 
-def is_foreign(query: str, response: str, model: NaiveBayes) -> bool:
-    """Whether the response is in a language that the query is neither written in nor asks for."""
-    whole, asked_in = model.best(response), model.best(query)
-    if whole and whole == asked_in:
-        return False
-    meant = set(languages_of(query, model, 0.5)) or {x for x in [asked_in] if x}
-    body = "\n".join(x for x in response.split("\n") if letters(x) != letters(query))
-    said = languages_of(body, model)
-    if not said:
-        return False
-    main = said.most_common(1)[0][0]
-    asked = {lang for lang, pattern in _ASKS if pattern.search(query)}
-    if not meant and not asked:
-        return main not in script_languages(query)
-    return main not in (asked | meant)
-
-
-def defect(query: str, response: str | None, ends: EndModel, model: NaiveBayes) -> str | None:
-    if is_empty(response):
-        return "empty"
-    if is_copy(query, response):
-        return "copy"
-    if is_refusal(response):
-        return "refusal"
-    if is_truncated(response, ends):
-        return "truncated"
-    return "other_language" if is_foreign(query, response, model) else None
-
-
-def end_counts(df: DataFrame, response: str, least: int = 5) -> DataFrame:
+    Languages are those of sentences of three words or more, by their posteriors; the response's is the one with
+    most words among those that are sure. Lines that repeat the query are no part of the response.
+    """
+    texts: list[str] = []
+    owner: list[tuple[int, int, int]] = []  # pair, 0 query 1 response 2 whole query, words
+
+    def add(i: int, side: int, text: str) -> None:
+        for s in sentences(text):
+            if (size := s.count(" ") + 1) >= 3:
+                texts.append(s)
+                owner.append((i, side, size))
+
+    for i, (query, response) in enumerate(pairs):
+        again = query.strip()[:12].lower()
+        body = response
+        if again and again in response.lower():
+            asked = letters(query)
+            body = "\n".join(x for x in response.split("\n") if letters(x) != asked)
+        add(i, 0, query)
+        add(i, 1, body)
+        texts.append(query)
+        owner.append((i, 2, 0))
+    meant: list[set] = [set() for _ in pairs]
+    whole: list[str | None] = [None] * len(pairs)
+    said: list[Counter | None] = [None] * len(pairs)
+    for (i, side, size), (lang, p) in zip(owner, model.posteriors(texts)):
+        if lang is None:
+            continue
+        if side == 0 and p >= may_be:
+            meant[i].add(lang)
+        elif side == 1 and p >= sure:
+            if said[i] is None:
+                said[i] = Counter()
+            said[i][lang] += size
+        elif side == 2:
+            whole[i] = lang
+    out = []
+    for (query, _), known, best, counts in zip(pairs, meant, whole, said):
+        if not counts:
+            out.append(False)
+            continue
+        main = counts.most_common(1)[0][0]
+        known = known or ({best} if best else set())
+        if main in known:
+            out.append(False)
+            continue
+        asked = {lang for lang, pattern in _ASKS if pattern.search(query)}
+        out.append(main not in (asked | known) if known or asked else main not in script_languages(query))
+    return out
+
+
+def defects(rows: list[tuple[str, str | None, EndModel]], model: NaiveBayes) -> list[str | None]:
+    """The first defect that fits each (query, response, how ends are likely)."""
+    out: list[str | None] = []
+    for query, response, ends in rows:
+        if is_empty(response):
+            out.append("empty")
+        elif is_copy(query, response):
+            out.append("copy")
+        elif is_refusal(response):
+            out.append("refusal")
+        else:
+            out.append("truncated" if is_truncated(response, ends) else None)
+    left = [i for i, kind in enumerate(out) if kind is None]
+    for i, strange in zip(left, foreign([rows[i][:2] for i in left], model)):
+        if strange:
+            out[i] = "other_language"
+    return out
+
+
+def _chunks(texts: list[str]) -> Iterator[slice]:
+    """Slices of a batch of about _CHUNK characters, whatever the length of its texts."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= _CHUNK:
+            yield slice(begin, i + 1)
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
+def end_counts(df: DataFrame, response: str, least: int = LEAST) -> DataFrame:
     """(context, places, marked, bare) over all responses; contexts in fewer than ``least`` places say nothing and are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places, marked, bare = Counter(), Counter(), Counter()
-
-        def counted() -> pd.DataFrame:
-            return pd.DataFrame({"context": pd.Series(list(places), dtype=object), "places": list(places.values()), "marked": [marked.get(c, 0) for c in places], "bare": [bare.get(c, 0) for c in places]})
-
         for batch in batches:
-            count_ends(batch["t"].tolist(), places, marked, bare)
-            if len(places) > 300_000:  # partial counts, so that a task's memory is bounded
-                yield counted()
-                places.clear(), marked.clear(), bare.clear()
-        yield counted()
+            texts = batch["t"].tolist()
+            for part in _chunks(texts):
+                yield count_ends(texts[part])
 
-    part = df.where(F.col(response).isNotNull()).select(F.col(response).alias("t")).mapInPandas(run, "context string, places long, marked long, bare long")
+    part = df.where(F.col(response).isNotNull()).select(F.col(response).alias("t")).mapInPandas(run, "context long, places long, marked long, bare long")
     return part.groupBy("context").agg(*[F.sum(x).alias(x) for x in ("places", "marked", "bare")]).where(F.col("places") >= least)
 
 
@@ -298,8 +408,9 @@ def broken_pairs(df: DataFrame, sample: dict[str, list[str]]) -> DataFrame:
 
     ``sample`` is the bounded labelled sample of language.labelled_sample. Only responses without a final
     mark need end counts: their last contexts are joined with the counts of all responses, so that no model
-    of the corpus is sent about. Rows with a null id or a null or blank query give none; a repeated id counts
-    once; feedback may be null and plays no part.
+    of the corpus is sent about. Contexts that close USUAL of all responses, at most len(ORDERS) / USUAL of
+    them, are broadcast, so that no hot one is gathered. Rows with a null id or a null or blank query give none; a repeated id counts once; feedback may be
+    null and plays no part.
     """
     shared = df.sparkSession.sparkContext.broadcast(NaiveBayes(sample, (2, 3)).table)  # of fixed size
     rows = df.where(r"id is not null and query rlike '[\\p{L}\\p{N}]'").select("id", "query", "response", "feedback")
@@ -307,25 +418,23 @@ def broken_pairs(df: DataFrame, sample: dict[str, list[str]]) -> DataFrame:
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(key, c) for key, text in zip(batch["id"], batch["response"]) for c in last_contexts(without_note(text))]
-            yield pd.DataFrame(found, columns=["id", "context"])
+            found = last_contexts([without_note(t) for t in batch["response"]])
+            yield pd.DataFrame([(key, n, c) for key, of in zip(batch["id"], found) for n, c in of], columns=["id", "n", "context"])
 
-    wanted = rows.where(open_end).select("id", "response").mapInPandas(contexts, "id string, context string").distinct()
-    counted = F.struct("context", F.array("places", "marked", "bare").alias("n"))
-    known = wanted.join(end_counts(df, "response"), "context").groupBy("id").agg(F.collect_list(counted).alias("ends"))
+    total = df.count()  # read from the footers of the files
+    wanted = cut(rows.where(open_end).select("id", "response").mapInPandas(contexts, "id string, n int, context long"))
+    known = spread_join(wanted, cut(end_counts(df, "response")), ["context"], F.col("bare") >= max(LEAST, USUAL * total))
+    known = known.groupBy("id").agg(F.collect_set(F.struct("n", F.array("places", "marked", "bare").alias("c"))).alias("ends"))  # at most one a length
     held: list[NaiveBayes] = []
-    total = df.count()
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = held[0] if held else NaiveBayes({}, (2, 3), shared.value)
         held.append(model)
         for batch in batches:
-            out = []
-            for key, query, response, feedback, ends in zip(batch["id"], batch["query"], batch["response"], batch["feedback"], batch["ends"]):
-                counts = {e["context"]: tuple(e["n"]) for e in ends} if ends is not None else {}
-                if kind := defect(query, response, EndModel(counts, total), model):
-                    out.append((key, kind, feedback))
-            yield pd.DataFrame(out, columns=["id", "defect", "feedback"])
+            asked = [(q, r, EndModel({e["n"]: tuple(e["c"]) for e in ends} if ends is not None else {}, total)) for q, r, ends in zip(batch["query"], batch["response"], batch["ends"])]
+            found = [kind for part in _chunks([r or "" for _, r, _ in asked]) for kind in defects(asked[part], model)]
+            out = batch[["id", "feedback"]].assign(defect=found)
+            yield out[out["defect"].notna()][["id", "defect", "feedback"]]
 
     judged = rows.join(known, "id", "left").mapInPandas(judge, "id string, defect string, feedback string")
     order = F.array_position(F.array(*[F.lit(x) for x in ("empty", "copy", "refusal", "truncated", "other_language")]), F.col("defect"))

@@ -50,7 +50,45 @@ def test_every_query_runs(spark, sf, name):
     ],
 )
 def test_defects(bayes, query, response, kind):
-    assert pairs.defect(query, response, pairs.EndModel({}, 100), bayes) == kind
+    assert pairs.defects([(query, response, pairs.EndModel({}, 100))], bayes) == [kind]
+
+
+@pytest.mark.parametrize("times", [1, 40])
+@pytest.mark.parametrize("nothing", ["<p></p>", "&nbsp;", "** \n", "​", "N/A"])
+def test_nothing_said_is_empty_at_any_length(nothing, times):
+    assert pairs.is_empty(" ".join([nothing] * (1 if nothing == "N/A" else times)))
+
+
+def test_copy_and_refusal_have_no_size_limit():
+    question = "Who approves the tender above Rs. 5,000 in a year at the office?"
+    assert pairs.is_copy(question, "Thank you for writing to the procurement help desk of the district office today, this is the question that we have received from you: " + question)
+    assert pairs.is_copy(question, "\n".join([question] * 50)) and not pairs.is_copy(question, question + " The committee approves it.")
+    assert pairs.is_refusal("I cannot help with that" + " because the matter is with the committee" * 20 + ".")
+
+
+def test_contexts_count_alike_at_every_size():
+    texts = ["The committee met. Merci", "The committee met again.", "It closes. Merci", "See p. 4 of it", "and so on...", "It closes."] * 3
+    small, large = pairs.count_ends(texts), pairs.count_ends(texts * 100)
+    assert small["context"].tolist() == large["context"].tolist() and (small["places"] * 100).tolist() == large["places"].tolist()
+    counts = {c: tuple(r) for c, *r in large.itertuples(index=False)}
+    closing, cut, dots = pairs.last_contexts(["Also. Merci", "The committee", "and so on..."])
+    assert [n for n, _ in closing] == [1, 2] and counts[closing[1][1]] == (600, 0, 600) and dots == []
+    assert pairs.EndModel({n: counts[c] for n, c in closing if c in counts}, 1800).likely("Also. Merci") > 0.9
+    assert pairs.EndModel({n: counts[c] for n, c in cut if c in counts}, 1800).likely("The committee") == 0
+
+
+def test_posteriors_do_not_depend_on_their_neighbours(bayes):
+    texts = [t for of in SAMPLE.values() for t in of[:4]] + ["", "12", "x" * 300_000]
+    together = bayes.posteriors(texts)
+    assert all(bayes.posteriors([t])[0][0] == lang and abs(bayes.posteriors([t])[0][1] - p) < 1e-4 for t, (lang, p) in zip(texts, together))
+    assert [lang for lang, _ in together][-3:-1] == [None, None]
+
+
+def test_labelled_sample_is_limited_before_its_shuffle(spark):
+    rows = [(i, SAMPLE[x][i % 3], x) for i in range(900) for x in ("en", "fr")]
+    df = spark.createDataFrame(rows, "k long, t string, lang string").withColumn("n", F.lit("clash"))
+    sample = language.labelled_sample(df.select("k", "t", "lang", "n"), "k", "t", "lang", rows=400)
+    assert 300 <= len(sample["en"]) <= 400 and 300 <= len(sample["fr"]) <= 400 and sample["hi"] == []
 
 
 def test_broken_pairs_odd_rows(spark):
