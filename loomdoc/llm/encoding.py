@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 LEGACY = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "koi8_r", "cp866", "iso8859_15")
 #: Single-byte text read with another single-byte encoding.
 SINGLE_BYTE = (("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"))
-MAX_LAYERS = 4
 #: Characters outside ASCII, the Indic blocks with their joiners, and the signs of careful typing.
 SUSPECT = r"[^\x00-\x7Fऀ-෿​-‍‐-―‘’“”•…₹]"
 
@@ -147,7 +146,7 @@ _SPACED = re.compile("Ã (?=Â[^ ])")
 
 def repair(text: str) -> tuple[str, bool]:
     """The text with every layer of wrong decoding taken off, and whether characters were lost for good."""
-    for _ in range(MAX_LAYERS):
+    while True:  # each layer that comes off makes the text shorter
         fixed = _RUN.sub(lambda m: _run_step(m[0]) or m[0], _SPACED.sub("Ã\xa0", text))
         if fixed == text:
             break

@@ -1,9 +1,10 @@
 """Problem 5: lines that recur across the documents of one source.
 
-Lines become token templates in fixed-depth trees: source, number of tokens, first token. The trees are
-kept as counted rows, so that partial trees of all partitions merge in one aggregation. Slots of a leaf
-whose tokens are names become wildcards, numbers, dates and times already are, and templates that cover
-a large share of their source's documents are the repeated lines.
+Lines become token templates in fixed-depth trees: source, number of tokens, first or last token. The trees
+are kept as counted rows, so that partial trees of all partitions merge in one aggregation. Wildcard slots
+are numbers, dates and times, tokens of a leaf that are names by their capitals, and runs of tokens that
+vary while the rest of the line stands; templates that cover a large share of their source's documents are
+the repeated lines.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomdoc.operators.ranking import spread_join
 from loomdoc.session import cut
 
 #: Month names that dates are written with.
@@ -23,7 +25,11 @@ MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?
 _NUMBER = re.compile(r"[0-9०-९]+(?:[-/.:,][0-9०-९]+)*(?: ?[ap]\.?m\b\.?)?")
 _DATE = re.compile(rf"<\*>(?:st|nd|rd|th)? (?:{MONTHS})\.?,? <\*>|\b(?:{MONTHS})\.? <\*>,? <\*>")
 _BULLET = re.compile(r"(?:[•◦‣▪●○■►*·»>–—-]+ ?|\(?<\*>[.)] )")
-_STOP = " .। "
+_STOP = " .। "
+#: A run of at most RUN tokens that takes VALUES different values while the rest of a line stands is a slot.
+RUN, VALUES = 4, 8
+#: Share of all documents above which a source, line or template is hot: there are at most (lines per document) / HOT of them.
+HOT = 0.001
 
 
 def plain_line(line: str) -> str:
@@ -52,8 +58,10 @@ def _marks(line: str, plain: str) -> str | None:
     return "".join("1" if any(x[:1].isupper() for x in w.lstrip("(\"'“").split("-")) else "0" for w in words)
 
 
-def _leaf(plain: str) -> tuple[int, str]:
-    return plain.count(" ") + 1, plain.partition(" ")[0]
+def _leaves(plain: str) -> tuple[str, str]:
+    """The two leaves of a line: by its number of tokens and its first, and by their number and the last."""
+    size = plain.count(" ") + 1
+    return f"{size} {plain.partition(' ')[0]}", f"{size} ~ {plain.rpartition(' ')[2]}"
 
 
 def _count_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,56 +70,117 @@ def _count_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for source, text in zip(batch["_source"], batch["_text"]):
             for line in text.split("\n"):
                 if plain := plain_line(line):
-                    seen[(source, *_leaf(plain))] += 1
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["_source", "_size", "_first", "_n"])
+                    first, last = _leaves(plain)
+                    seen[source, first] += 1
+                    seen[source, last] += 1
+        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["_source", "_leaf", "_n"])
+
 
+def skeletons(template: str) -> list[tuple[str, str]]:
+    """(line with a run of tokens as one slot, the run) for every run of at most RUN tokens beside which a word stands."""
+    words = template.split(" ")
+    out = []
+    for i in range(len(words)):
+        for k in range(1, min(RUN, len(words) - i) + 1):
+            left, right = words[:i], words[i + k :]
+            if any(w[0].isalpha() for w in (*left, *right)):
+                out.append((" ".join([*left, "<+>", *right]), " ".join(words[i : i + k])))
+    return out
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
-        for key, source, text in zip(batch["_key"], batch["_source"], batch["_text"]):
-            for no, line in enumerate(text.split("\n"), 1):
-                if plain := plain_line(line):
-                    rows.append((key, source, no, *_leaf(plain), plain, _marks(line, plain)))
-        yield pd.DataFrame(rows, columns=["_key", "_source", "_no", "_size", "_first", "_plain", "_marks"])
+        rows = [(s, line, n, k, f) for s, line, t, n in zip(batch["_source"], batch["_line"], batch["_exact"], batch["_n"]) for k, f in skeletons(t)]
+        yield pd.DataFrame(rows, columns=["_source", "_line", "_n", "template", "_filler"])
 
 
-def repeated_lines(df: DataFrame, key: str, source: str, content: str, share: float = 0.1, least: int = 3) -> DataFrame:
-    """(key, line_no, source, template, documents) of every line whose template stands in ``share`` of its source's documents and in ``least``.
+def _candidates(base: DataFrame, totals: DataFrame, kind: str, documents: int) -> DataFrame:
+    """Lines that stand in a leaf which could reach the threshold even if all its lines were alike; they leave out nearly all body text.
 
-    Leaves that could not reach the threshold even if all their lines were alike are dropped first, on
-    counts alone; they hold nearly all body text, so only candidate lines are shuffled. A key that comes
-    again counts once. Null key, source or content and blank lines give no row.
+    Leaves of hot sources, of which there are at most 1 / HOT with 2 (lines per document) / share leaves each, go to the
+    tasks; lines of the other sources meet theirs by a shuffle.
     """
-    kind = df.schema[key].dataType.simpleString()
-    base = df.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"), F.col(content).alias("_text")).where("_key is not null and _source is not null and _text is not null")
-    totals = base.groupBy("_source").agg(F.countDistinct("_key").alias("_docs")).withColumn("_need", F.greatest(F.ceil(F.col("_docs") * share - 1e-6), F.lit(least)))
-    leaf = ["_source", "_size", "_first"]
-    leaves = (
-        base.select("_source", "_text").mapInPandas(_count_leaves, "_source string, _size int, _first string, _n long")
-        .groupBy(*leaf).agg(F.sum("_n").alias("_n"))
-        .join(totals, "_source").where("_n >= _need").select(*leaf, "_need")
+    leaves = cut(
+        base.select("_source", "_text").mapInPandas(_count_leaves, "_source string, _leaf string, _n long")
+        .groupBy("_source", "_leaf").agg(F.sum("_n").alias("_n"))
+        .join(totals, "_source").where("_n >= _need").select("_source", "_leaf", "_docs")
     )
-    lines = base.mapInPandas(_parse, f"_key {kind}, _source string, _no int, _size int, _first string, _plain string, _marks string")
-    kept = cut(lines.join(leaves, leaf).dropDuplicates(["_key", "_no"]).withColumn("_line", F.xxhash64(*leaf, "_plain")))
-    # merged trees: per leaf and position the tokens with their counts, and how often they start with a capital
-    counted = kept.groupBy(*leaf, "_line", "_plain", "_marks").agg(F.count("*").alias("_n"))
-    tokens = counted.select(*leaf, "_n", "_line", F.posexplode(F.split("_plain", " ")).alias("_pos", "_token"), "_marks").withColumn("_capital", F.substring("_marks", F.col("_pos") + 1, F.lit(1)).cast("int"))
+    hot = F.col("_docs") >= max(1.0, HOT * documents)
+    sources = {r["_source"] for r in totals.where(hot).select("_source").collect()}  # at most 1 / HOT
+    known = base.sparkSession.sparkContext.broadcast((sources, {(r["_source"], r["_leaf"]) for r in leaves.where(hot).collect()}))
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        big, full = known.value
+        for batch in batches:
+            rows = []
+            for key, source, text in zip(batch["_key"], batch["_source"], batch["_text"]):
+                sure = source in big
+                for no, line in enumerate(text.split("\n"), 1):
+                    if plain := plain_line(line):
+                        first, last = _leaves(plain)
+                        if not sure or (source, first) in full or (source, last) in full:
+                            rows.append((key, source, no, plain, _marks(line, plain), sure, [first, last]))
+            yield pd.DataFrame(rows, columns=["_key", "_source", "_no", "_plain", "_marks", "_sure", "_leaves"])
+
+    columns = ["_key", "_source", "_no", "_plain", "_marks"]
+    lines = cut(base.mapInPandas(parse, f"_key {kind}, _source string, _no int, _plain string, _marks string, _sure boolean, _leaves array<string>"))
+    rest = lines.where("not _sure").select(*columns, F.explode("_leaves").alias("_leaf")).join(leaves.where(~hot), ["_source", "_leaf"], "left_semi").select(*columns).distinct()
+    return lines.where("_sure").select(*columns).unionByName(rest)
+
+
+def _templates(kept: DataFrame, totals: DataFrame) -> DataFrame:
+    """(line, template): each distinct candidate line with its exact template, and with those of its skeletons whose slot takes VALUES values."""
+    counted = kept.groupBy("_source", "_line", "_plain", "_marks").agg(F.count("*").alias("_n"))
+    words = F.split("_plain", " ")
+    tokens = counted.select("_source", "_line", "_n", F.concat_ws(" ", F.size(words), words[0]).alias("_leaf"), F.posexplode(words).alias("_pos", "_token"), "_marks").withColumn("_capital", F.substring("_marks", F.col("_pos") + 1, F.lit(1)).cast("int"))
+    place = ["_source", "_leaf", "_pos", "_token"]
     named = (
         tokens.where("_pos > 0 and not contains(_token, '<*>')")
-        .groupBy(*leaf, "_pos", "_token")
+        .groupBy(*place)
         .agg(F.sum(F.when(F.col("_capital").isNotNull(), F.col("_n"))).alias("_cased"), F.sum(F.col("_capital") * F.col("_n")).alias("_capitals"))
         .where("_capitals >= 0.5 * _cased")
-        .select(*leaf, "_pos", "_token", F.lit("<name>").alias("_slot"))
+        .select(*place, F.lit("<name>").alias("_slot"))
+    )
+    exact = (
+        tokens.join(named, place, "left")
+        .groupBy("_source", "_line")
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("_pos", F.coalesce("_slot", "_token").alias("t")))), lambda x: x.t), " ").alias("_exact"), F.max("_n").alias("_n"))
     )
-    templates = (
-        tokens.join(named, [*leaf, "_pos", "_token"], "left")
-        .groupBy("_line")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("_pos", F.coalesce("_slot", "_token").alias("t")))), lambda x: x.t), " ").alias("template"))
+    exact = cut(exact)
+    masked = exact.mapInPandas(_mask, "_source string, _line long, _n long, template string, _filler string")
+    slots = (
+        masked.groupBy("_source", "template", "_filler").agg(F.sum("_n").alias("_n"))
+        .groupBy("_source", "template").agg(F.count("*").alias("_values"), F.sum("_n").alias("_n"))
+        .where(F.col("_values") >= VALUES).join(totals, "_source").where("_n >= _need").select("_source", "template")
+    )
+    varied = masked.select("_source", "_line", "template").join(slots, ["_source", "template"]).select("_line", "template").distinct()
+    return exact.select("_line", F.col("_exact").alias("template")).unionByName(varied)
+
+
+def repeated_lines(df: DataFrame, key: str, source: str, content: str, share: float = 0.1, least: int = 3) -> DataFrame:
+    """(key, line_no, source, template, documents) of every line that has a template which stands in ``share`` of its source's documents and in ``least``.
+
+    Of several such templates of a line the one in most documents comes out. A key that comes again counts
+    once. Null key, source or content and blank lines give no row. Lines and templates that very many
+    documents hold are joined where they are (spread_join), all others by a shuffle.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    base = df.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"), F.col(content).alias("_text")).where("_key is not null and _source is not null and _text is not null")
+    totals = cut(base.select("_source", "_key").distinct().groupBy("_source").agg(F.count("*").alias("_docs")).withColumn("_need", F.greatest(F.ceil(F.col("_docs") * share - 1e-6), F.lit(least))))
+    documents = totals.agg(F.coalesce(F.sum("_docs"), F.lit(0))).first()[0]
+    kept = _candidates(base, totals, kind, documents).withColumn("_line", F.xxhash64("_source", "_plain"))
+    of_line = kept.groupBy("_line").agg(F.count("*").alias("_rows"))
+    templates = cut(_templates(kept, totals).join(of_line, "_line").groupBy("_line").agg(F.collect_set("template").alias("_templates"), F.first("_rows").alias("_rows")))  # one, and the slots of a line
+    common = lambda n: F.col(n) >= max(1.0, HOT * documents)
+    lines = kept.select("_key", "_no", "_source", "_line")
+    parsed = cut(spread_join(lines, templates, ["_line"], common("_rows")).select("_key", "_no", "_source", F.explode("_templates").alias("template")))
+    covering = (
+        parsed.select("_source", "template", "_key").distinct().groupBy("_source", "template").agg(F.count("*").alias("documents"))
+        .join(totals, "_source").where("documents >= _need").select("_source", "template", "documents")
     )
-    parsed = kept.join(templates, "_line").select("_key", "_no", "_source", "_need", "template")
-    covering = parsed.groupBy("_source", "template").agg(F.countDistinct("_key").alias("documents"), F.max("_need").alias("_need")).where("documents >= _need").drop("_need")
-    return parsed.drop("_need").join(covering, ["_source", "template"]).select(F.col("_key").alias(key), F.col("_no").alias("line_no"), F.col("_source").alias("source"), "template", "documents")
+    found = spread_join(parsed, cut(covering), ["_source", "template"], common("documents"))
+    best = F.max(F.struct("documents", "template"))
+    return found.groupBy("_key", "_no", "_source").agg(best.alias("b")).select(F.col("_key").alias(key), F.col("_no").alias("line_no"), F.col("_source").alias("source"), "b.template", "b.documents")
 
 
 def without_repeated_lines(df: DataFrame, key: str, source: str, content: str, share: float = 0.1, least: int = 3) -> DataFrame:
