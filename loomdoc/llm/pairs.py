@@ -54,7 +54,7 @@ _CLOSES = re.compile(
     r"helpdesk se|kisi aur|koi (?:aur|doosra)|kripya|veuillez|posez|essayez|कृपया (?:\S+ )*(?:संपर्क|पूछें|साधा)|कोई (?:अन्य|और) प्रश्न|सहायता केंद्र|दूसरा प्रश्न|दुसरा|অন্য|অনুগ্রহ|thank|dhanyav|धन्यवाद|ধন্যবাদ|merci)", re.I)
 #: Requests for the language of the answer.
 _ASKS = (
-    ("en", re.compile(r"\b(?:in|into) english\b|english (?:me|mein)\b|अंग्रेज़?ी में|इंग्रजीत|ইংরেজিতে|en anglais", re.I)),
+    ("en", re.compile(r"\b(?:in|into) english\b|(?:english|angrezi|angreji) (?:me|mein)\b|(?:अंग्रेज़?ी|इंग्लिश) (?:में|मे|भाषा)|इंग्रजीत|इंग्रजी (?:मध्ये|भाषेत)|ইংরেজিতে|ইংরেজি ভাষায়|en anglais", re.I)),
     ("hi", re.compile(r"\bin hindi\b|\bhindi (?:me|mein)\b|हिन्?ं?दी (?:में|मध्ये)|हिंदीत|হিন্দিতে|en hindi", re.I)),
     ("hi-Latn", re.compile(r"\bin (?:hinglish|roman hindi)\b|hinglish (?:me|mein)\b|हिंग्लिश", re.I)),
     ("mr", re.compile(r"\bin marathi\b|marathi (?:me|mein|madhye)\b|मराठी(?:त| में)|মারাঠিতে|en marathi", re.I)),

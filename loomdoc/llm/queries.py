@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,12 +90,20 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def _secret(spark: SparkSession) -> str:
+    """The key of the surrogates: a setting of the session; where there is none, one drawn for this session only."""
+    return spark.conf.get("spark.loomdoc.surrogate.key", None) or _DRAWN
+
+
+_DRAWN = secrets.token_hex(16)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.personal_items(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return personal.personal_items(table(spark, sf_dir, "documents"), "doc_id", "text", _secret(spark)).select("doc_id", "kind", "found_text").distinct()
 
 
 def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.redact(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return personal.redact(table(spark, sf_dir, "documents"), "doc_id", "text", _secret(spark))
 
 
 def queries() -> dict:

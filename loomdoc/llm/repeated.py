@@ -3,7 +3,7 @@
 Lines become token templates in fixed-depth trees: source, number of tokens, first or last token. The trees
 are kept as counted rows, so that partial trees of all partitions merge in one aggregation. Wildcard slots
 are numbers, dates and times, tokens of a leaf that are names by their capitals, and runs of tokens that
-vary while the rest of the line stands; templates that cover a large share of their source's documents are
+vary as names do while the rest of the line stands; templates that cover a large share of their source's documents are
 the repeated lines.
 """
 
@@ -26,8 +26,9 @@ _NUMBER = re.compile(r"[0-9०-९]+(?:[-/.:,][0-9०-९]+)*(?: ?[ap]\.?m\b\.?)
 _DATE = re.compile(rf"<\*>(?:st|nd|rd|th)? (?:{MONTHS})\.?,? <\*>|\b(?:{MONTHS})\.? <\*>,? <\*>")
 _BULLET = re.compile(r"(?:[•◦‣▪●○■►*·»>–—-]+ ?|\(?<\*>[.)] )")
 _STOP = " .। "
-#: A run of at most RUN tokens that takes VALUES different values while the rest of a line stands is a slot.
-RUN, VALUES = 4, 8
+#: A run of two to RUN tokens is a slot of names if it takes VALUES different values while the rest of the line stands, and if its
+#: first and its last tokens both vary and recombine, as given and family names do: no more than MIXED of the values differ in either.
+RUN, VALUES, MIXED = 4, 8, 0.8
 #: Share of all documents above which a source, line or template is hot: there are at most (lines per document) / HOT of them.
 HOT = 0.001
 
@@ -77,11 +78,11 @@ def _count_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def skeletons(template: str) -> list[tuple[str, str]]:
-    """(line with a run of tokens as one slot, the run) for every run of at most RUN tokens beside which a word stands."""
+    """(line with a run of tokens as one slot, the run) for every run of two to RUN tokens beside which a word stands."""
     words = template.split(" ")
     out = []
     for i in range(len(words)):
-        for k in range(1, min(RUN, len(words) - i) + 1):
+        for k in range(2, min(RUN, len(words) - i) + 1):
             left, right = words[:i], words[i + k :]
             if any(w[0].isalpha() for w in (*left, *right)):
                 out.append((" ".join([*left, "<+>", *right]), " ".join(words[i : i + k])))
@@ -129,7 +130,7 @@ def _candidates(base: DataFrame, totals: DataFrame, kind: str, documents: int) -
 
 
 def _templates(kept: DataFrame, totals: DataFrame) -> DataFrame:
-    """(line, template): each distinct candidate line with its exact template, and with those of its skeletons whose slot takes VALUES values."""
+    """(line, template): each distinct candidate line with its exact template, and with those of its skeletons whose slot is one of names."""
     counted = kept.groupBy("_source", "_line", "_plain", "_marks").agg(F.count("*").alias("_n"))
     words = F.split("_plain", " ")
     tokens = counted.select("_source", "_line", "_n", F.concat_ws(" ", F.size(words), words[0]).alias("_leaf"), F.posexplode(words).alias("_pos", "_token"), "_marks").withColumn("_capital", F.substring("_marks", F.col("_pos") + 1, F.lit(1)).cast("int"))
@@ -150,8 +151,8 @@ def _templates(kept: DataFrame, totals: DataFrame) -> DataFrame:
     masked = exact.mapInPandas(_mask, "_source string, _line long, _n long, template string, _filler string")
     slots = (
         masked.groupBy("_source", "template", "_filler").agg(F.sum("_n").alias("_n"))
-        .groupBy("_source", "template").agg(F.count("*").alias("_values"), F.sum("_n").alias("_n"))
-        .where(F.col("_values") >= VALUES).join(totals, "_source").where("_n >= _need").select("_source", "template")
+        .groupBy("_source", "template").agg(F.count("*").alias("_values"), F.sum("_n").alias("_n"), F.countDistinct(F.substring_index("_filler", " ", 1)).alias("_first"), F.countDistinct(F.substring_index("_filler", " ", -1)).alias("_last"))
+        .where((F.col("_values") >= VALUES) & (F.least("_first", "_last") >= 3) & (F.greatest("_first", "_last") <= MIXED * F.col("_values"))).join(totals, "_source").where("_n >= _need").select("_source", "template")
     )
     varied = masked.select("_source", "_line", "template").join(slots, ["_source", "template"]).select("_line", "template").distinct()
     return exact.select("_line", F.col("_exact").alias("template")).unionByName(varied)
