@@ -27,21 +27,39 @@ def devanagari_share(c: Column) -> Column:
     return F.regexp_count(c, F.lit("[ऀ-ॿ]")) / F.nullif(F.regexp_count(c, F.lit("[a-zA-Zऀ-ॿ]")), F.lit(0))
 
 
+#: The edge of a word, in both engines: anything but a letter, sign or digit.
+_BEFORE, _AFTER = r"(?:^|[^\p{L}\p{M}\p{N}_])", r"(?:$|[^\p{L}\p{M}\p{N}_])"
+_ASK_ENGLISH = r"|(?:इंग्लिश|अंग्रेजी|अंग्रेज़ी|अंगरेजी)\s*(?:में|मे)"
+
+
+def asks_for(language: str, more: str = "") -> str:
+    """Pattern of a request for an answer in a language, of lower-case text."""
+    verbs = "reply|answer|respond|write|tell|explain"
+    return (
+        rf"{_BEFORE}(?:in\s+{language}|{language}\s*(?:me|mein|main|mai|maiin|please|plz|only)|(?:{verbs})\s+(?:in\s+)?{language}){_AFTER}|{language}\s*(?:में|मे){more}"
+    )
+
+
 def route_language(c: Column) -> Column:
     """en, hi-Latn or hi: an asked language first, then script, then Hinglish words."""
     x = F.lower(F.coalesce(c, F.lit("")))
-    edge = r"(^|[^a-z0-9_])"
-    asks = lambda name, indic: x.rlike(rf"{edge}in {name}([^a-z]|$)|{edge}{name} (me|mein|main|please|plz|only)([^a-z]|$)|{indic} (में|मे)")
     return (
-        F.when(asks("english", "(इंग्लिश|अंग्रेजी|अंग्रेज़ी|english)"), "en")
-        .when(asks("hinglish", "hinglish"), "hi-Latn")
-        .when(asks("hindi", "(हिंदी|हिन्दी|hindi)"), "hi")
+        F.when(x.rlike(asks_for("english", _ASK_ENGLISH)), "en")
+        .when(x.rlike(asks_for("hinglish")), "hi-Latn")
+        .when(x.rlike(asks_for("hindi")), "hi")
         .when(x.rlike("[ऀ-ॿ]"), "hi")
-        .when(x.rlike(rf"{edge}({'|'.join(lexicon.HINGLISH)})([^a-z0-9_]|$)"), "hi-Latn")
+        .when(x.rlike(rf"{_BEFORE}(?:{'|'.join(lexicon.HINGLISH)}){_AFTER}"), "hi-Latn")
         .otherwise("en")
     )
 
 
+def is_follow_up(question: Column, short: int = 8) -> Column:
+    """Whether a question needs the turn before it: it has few words, or a vague one."""
+    vague = "|".join(sorted(lexicon.VAGUE))
+    words = F.size(F.filter(F.split(question, r"\s+"), lambda w: w != ""))
+    return (words <= short) | F.lower(question).rlike(vague)
+
+
 def normalize_query(c: Column) -> Column:
     """Each spelling replaced in turn, in any case."""
     for wrong, right in lexicon.SPELLINGS:
@@ -49,11 +67,23 @@ def normalize_query(c: Column) -> Column:
     return c
 
 
+def _once(c: Column, of) -> Column:
+    """``of`` the column in lower case, which is made once however often ``of`` uses it."""
+    return F.transform(F.array(F.lower(F.coalesce(c, F.lit("")))), of)[0]
+
+
+def _holds(x: Column, words) -> Column:
+    """Whether a text holds one of the words. A word that holds another needs no look of its own."""
+    least = [w for w in dict.fromkeys(words) if not any(v != w and v in w for v in words)]
+    found = x.contains(least[0])
+    for w in least[1:]:
+        found = found | x.contains(w)
+    return found
+
+
 def topics(c: Column) -> Column:
     """Topics of which some keyword stands in the text, in the order of the table."""
-    x = F.lower(F.coalesce(c, F.lit("")))
-    found = [F.when(F.greatest(*[x.contains(w).cast("int") for w in words], F.lit(0)) == 1, F.lit(t)) for t, words in lexicon.TOPICS.items()]
-    return F.array_compact(F.array(*found))
+    return _once(c, lambda x: F.array_compact(F.array(*[F.when(_holds(x, words), F.lit(t)) for t, words in lexicon.TOPICS.items()])))
 
 
 def tokens(c: Column) -> Column:
@@ -73,10 +103,35 @@ def cited_rules(c: Column) -> Column:
 
 
 def query_rules(c: Column) -> Column:
-    """Rule numbers that a query names or means."""
-    x = F.lower(F.coalesce(c, F.lit("")))
-    meant = [F.when(F.greatest(*[x.contains(w).cast("int") for w in words], F.lit(0)) == 1, F.lit(r)) for r, words in lexicon.RULE_TERMS.items()]
-    return F.array_distinct(F.concat(F.regexp_extract_all(x, F.lit(r"(?:rule|ru1e|clause|नियम) ?(\d+)"), F.lit(1)), F.array_compact(F.array(*meant))))
+    """Rule numbers that a query names, up to a dot, and those that it means by a term of RULE_TERMS; distinct, in order."""
+    named = F.lit(_BEFORE + r"(?:rule|clause|section|नियम|खंड)\s*(\p{Nd}[\p{L}\p{M}\p{N}_]*)")
+
+    def found(x: Column) -> Column:
+        numbers = F.filter(F.regexp_extract_all(x, named, F.lit(1)), lambda n: n.rlike(r"^\p{Nd}+$"))
+        meant = F.array_compact(F.array(*[F.when(_holds(x, words), F.lit(r)) for r, words in lexicon.RULE_TERMS.items()]))
+        return F.array_distinct(F.concat(numbers, meant))
+
+    return _once(c, found)
+
+
+MENTION = _BEFORE + r"(?:rule|clause|section|नियम|खंड|अध्याय)[-\s]*(\p{Nd}[\p{L}\p{M}\p{N}_]*)"
+
+
+def mentioned_rules(c: Column) -> Column:
+    """Distinct numbers of the rules, clauses, sections and chapters that a text mentions."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(MENTION), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda n: n.rlike(r"^\p{Nd}+$")))
+
+
+CITATION = _BEFORE + r"((?:rule|ru1e|clause|section|chapter|नियम|खंड|अध्याय)(?:\s*\p{Nd}+(?:\.\p{Nd}+)*(?:\s*\([^)]+\))?|\s+[a-z][\p{L}\p{M}\p{N}_]*))"
+
+
+def citations(c: Column) -> Column:
+    """Distinct citations of rules, clauses, sections and chapters with dotted, bracketed or lettered numbers, in order; "Ru1e" is a misread "Rule"."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("(?i)" + CITATION), F.lit(1))
+    whole = F.filter(found, lambda x: ~x.rlike(r"(?i)\s[a-z][\p{L}\p{M}\p{N}_]+$"))
+    squeezed = F.transform(whole, lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), "(?i)^ru1e", "Rule"))
+    return F.array_distinct(squeezed)
 
 
 def misread_rule(r: Column) -> Column:
@@ -90,6 +145,17 @@ def pages(c: Column) -> Column:
     return F.array_sort(F.array_distinct(found.cast("array<int>")))
 
 
+def marked_pages(c: Column) -> Column:
+    """Distinct page numbers of the page markers of a text, whatever label follows them, ascending."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"---\s*[Pp]age\s*(\d+)(?:\s+[^\n]*?)?\s*---"), F.lit(1))
+    return F.array_sort(F.array_distinct(found.cast("array<int>")))
+
+
+def snippet_key(c: Column) -> Column:
+    """Letters and digits of a text in lower case, by which snippets are found in pages."""
+    return F.lower(F.regexp_replace(c, "[^a-zA-Z0-9ऀ-ॿ]", ""))
+
+
 def last_index(c: Column, part: str) -> Column:
     """0-based place of the last occurrence; -1 if there is none."""
     at = F.instr(F.reverse(c), part[::-1])
@@ -119,3 +185,8 @@ def feedback(c: Column) -> Column:
 
 def display_source(c: Column) -> Column:
     return F.regexp_replace(c, r"(?i)\.(docx|txt)$", ".pdf")
+
+
+def toggled(members: Column, items: Column) -> Column:
+    """A list without those of the items that are in it, and with those that are not."""
+    return F.concat(F.array_except(members, items), F.array_except(items, members))

@@ -85,22 +85,17 @@ def merged_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, folded.alias("paragraphs"))
 
 
-_SENTENCE = re.compile(r"(?<!\bRs)(?<!\bNo)(?<!\bDr)(?<!\bM/s)(?<!\b\d)(?<=[.!?।])\s+|(\n+)")
+#: Where a sentence ends: after its mark, but not after a short form or a single digit, and at line breaks.
+SENTENCE_END = r"(?<!\bRs\.)(?<!\bNo\.)(?<!\bDr\.)(?<!\bM/s\.)(?<!\b\d\.)(?<=[.!?।])\s+|\n+"
 
 
 def answer_events(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, seq, type, text): a start, a token event per sentence, and an end for each answer. Null answers only start and end."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, t in zip(batch["_k"], batch["_t"]):
-                said = [s for s in _SENTENCE.split(t or "") if s and s.strip()]
-                rows += [(k, i, kind_, s) for i, (kind_, s) in enumerate([("start", ""), *[("token", s) for s in said], ("done", "")])]
-            yield pd.DataFrame(rows, columns=["_k", "seq", "type", "text"])
-
-    return df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).dropDuplicates(["_k"]).mapInPandas(run, f"_k {kind}, seq int, type string, text string").withColumnRenamed("_k", key)
+    """(key, seq, type, text): each answer cut into its sentences between a start and an end. Null answers only start and end."""
+    said = F.filter(F.split(F.coalesce("_t", F.lit("")), SENTENCE_END), lambda x: x.rlike(r"\S"))
+    of = lambda kind, x: F.struct(F.lit(kind).alias("type"), x.alias("text"))
+    events = F.concat(F.array(of("start", F.lit(""))), F.transform(said, lambda x: of("token", x)), F.array(of("done", F.lit(""))))
+    one = df.groupBy(F.col(key).alias("_k")).agg(F.max(text).alias("_t"))
+    return one.select(F.col("_k").alias(key), F.posexplode(events).alias("seq", "e")).select(key, "seq", "e.type", "e.text")
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:

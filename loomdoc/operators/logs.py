@@ -15,6 +15,21 @@ def once(log: DataFrame) -> DataFrame:
     return log.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("received_at", F.coalesce("response", F.lit("")), F.coalesce("query", F.lit("")))).alias("r")).select("id", "r.*")
 
 
+def without_phrase(log: DataFrame, phrase: str) -> DataFrame:
+    """The entries whose question is not ``phrase``, in any case and between any blanks; a null question is none."""
+    return log.where(F.upper(F.trim(F.coalesce("query", F.lit("")))) != phrase.upper())
+
+
+def with_feedback(log: DataFrame, events: DataFrame) -> DataFrame:
+    """(id, feedback, updates): each entry of ``log`` with the last valid feedback of ``events`` (id, feedback, at), neutral without one.
+
+    Only the three known values are feedback, in any spelling; events of unknown entries change nothing.
+    """
+    said = F.lower(T.strip(F.col("feedback")))
+    last = events.where(said.isin("neutral", "satisfied", "unsatisfied")).groupBy("id").agg(F.max_by(said, "at").alias("feedback"), F.count("*").alias("updates"))
+    return log.select("id").join(last, "id", "left").select("id", F.coalesce("feedback", F.lit("neutral")).alias("feedback"), F.coalesce("updates", F.lit(0)).alias("updates"))
+
+
 def response_seconds(c: Column) -> Column:
     """The response time, or null where it cannot be one."""
     return F.when((c >= 0) & (c < 3600), c)

@@ -14,7 +14,7 @@ from loomdoc import lexicon
 from loomdoc.functions import text as T
 from loomdoc.operators.ranking import spread_before
 from loomdoc.operators.similarity import jaccard_join
-from loomdoc.session import tasks
+from loomdoc.session import cut, tasks
 
 #: What a term, rule or topic that question and chunk have in common adds to the score.
 WEIGHTS = {"term": 1, "rule": 20, "topic": 5}
@@ -25,6 +25,17 @@ def sub_queries(question: Column) -> Column:
     return F.array_distinct(F.concat(F.array(question), F.transform(T.topics(question), lambda t: F.concat(question, F.lit(" "), t)), F.transform(T.query_rules(question), lambda r: F.concat(F.lit("Rule "), r))))
 
 
+def search_queries(question: Column) -> Column:
+    """What is searched for a question: itself, spelt right, with each of its topics, and its rules in both languages, with the number that a scan may have made of them."""
+
+    def forms(r: Column) -> Column:
+        both = lambda n: F.array(F.concat(F.lit("Rule "), n), F.concat(F.lit("नियम "), n))
+        return F.when(T.misread_rule(r).isNotNull(), F.concat(both(r), both(T.misread_rule(r)))).otherwise(both(r))
+
+    n = T.normalize_query(question)
+    return F.array_distinct(F.concat(F.array(n), F.transform(T.topics(n), lambda t: F.concat(n, F.lit(" "), t)), F.flatten(F.transform(T.query_rules(n), forms))))
+
+
 def scored_top(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(question_id, chunk_id, source, score, rank): the best k chunks of each question's source. Terms, rules and topics are found once per chunk."""
     q = questions.select("question_id", F.col("source_file").alias("source"), T.tokens(F.col("question")).alias("qt"), T.query_rules(F.col("question")).alias("qr"), T.topics(F.col("question")).alias("qtop"))
@@ -91,6 +102,44 @@ def scored_all(questions: DataFrame, chunks: DataFrame, k: int, block: int = 204
     return asked.select("question_id", "key").join(ranked, "key").select("question_id", "chunk_id", "score", "rank")
 
 
+def search(questions: DataFrame, chunks: DataFrame, k: int = 10, per_query: int = 40, cap: int = 3, deep_cap: int = 25, deep: str = "gfr|store purchase|cg hindi", most: int = lexicon.CONTEXT_CHARS) -> DataFrame:
+    """(question_id, rank, chunk_id, source_db, source, score, taken): the k best chunks of each question and how much of each its context takes.
+
+    Each of a question's search queries finds ``per_query`` chunks in either store, in blocks (scored_all). What
+    several find counts once, where it was found first; a source may give ``cap`` chunks, in the order they
+    were found, or ``deep_cap`` if its name says that it is a deep one. Where the question names a rule by number,
+    chunks that cite it stay, with the two after each, unless none does. Contexts are packed in reading order.
+    All windows are over one question, whose rows ``per_query`` and the number of its queries bound.
+    """
+    asked = questions.select("question_id", "question", F.posexplode(search_queries(F.col("question"))).alias("sub", "text"))
+    asked = asked.withColumn("_s", F.col("question_id") * 1000 + F.col("sub"))
+    hits = None
+    for place, store in enumerate(("vendor", "govt")):
+        top = scored_all(asked.select(F.col("_s").alias("question_id"), F.col("text").alias("question")), chunks.where(F.col("source_db") == store), per_query)
+        top = top.select(F.floor(F.col("question_id") / 1000).cast("long").alias("question_id"), F.struct(F.lit(place).alias("store"), (F.col("question_id") % 1000).alias("sub"), F.col("rank").alias("rank"), "chunk_id").alias("found"), "chunk_id")
+        hits = top if hits is None else hits.unionByName(top)
+    first = hits.groupBy("question_id", "chunk_id").agg(F.min("found").alias("found"))
+    held = first.join(chunks.select("chunk_id", "source_db", T.display_source(F.col("source")).alias("source"), "chunk_index", "page_content", "original_hindi"), "chunk_id")
+    by_source = Window.partitionBy("question_id", "source").orderBy("found")
+    capped = held.withColumn("_n", F.row_number().over(by_source)).where(F.col("_n") <= F.when(F.lower("source").rlike(deep), deep_cap).otherwise(cap)).drop("_n")
+    n = T.normalize_query(F.col("question"))
+    wanted = questions.select("question_id", T.tokens(n).alias("_qt"), T.query_rules(n).alias("_qr"), T.topics(n).alias("_qs"), n.rlike("[0-9]").alias("_digit"))
+    score = F.size(F.array_intersect("_qt", T.tokens(F.col("page_content")))) + 20 * F.size(F.array_intersect("_qr", T.cited_rules(F.col("page_content")))) + 5 * F.size(F.array_intersect("_qs", T.topics(F.col("page_content"))))
+    rules = F.concat("_qr", F.array_compact(F.transform("_qr", T.misread_rule)))
+    cited = T.mentioned_rules(F.concat_ws(" ", "page_content", "original_hindi"))
+    of_question = Window.partitionBy("question_id")
+    scored = capped.join(wanted, "question_id").withColumns({"score": score.cast("long"), "_hit": F.col("_digit") & F.arrays_overlap(cited, rules)})
+    matched = scored.withColumn("_hits", F.collect_set(F.when(F.col("_hit"), F.struct("source", "chunk_index"))).over(of_question))
+    near = F.exists("_hits", lambda h: (h["source"] == F.col("source")) & F.col("chunk_index").between(h["chunk_index"], h["chunk_index"] + 2))
+    kept = matched.where((F.size("_hits") == 0) | near)
+    best = kept.withColumn("rank", F.row_number().over(of_question.orderBy(F.desc("score"), "found"))).where(F.col("rank") <= k)
+    sized = best.withColumn("_n", F.length(T.truncate(F.col("page_content"))))
+    before = F.coalesce(F.sum("_n").over(of_question.orderBy("source", "chunk_index", "chunk_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = most - F.col("_before")
+    taken = F.when(F.col("_n") <= rest, F.col("_n")).when(rest > lexicon.LEAST_REST, rest).otherwise(0)
+    return sized.withColumn("_before", before).select("question_id", "rank", "chunk_id", "source_db", "source", "score", taken.cast("long").alias("taken"))
+
+
 def with_continuation(chunks: DataFrame, hit: Column, after: int = 2) -> DataFrame:
     """Chunks that match and the ``after`` next ones of the same file, by key and not by place in the result."""
     keys = ["source_db", "source", "file_path"]
@@ -110,6 +159,65 @@ def pack_context(chunks: DataFrame, keys: list[str], order: str, key: str, text:
     return summed.where(fits | ((F.col("before") <= most) & (most - F.col("before") > lexicon.LEAST_REST))).select(*keys, key, F.when(fits, F.col("n")).otherwise(most - F.col("before")).cast("long").alias("taken"))
 
 
+#: Letters of a snippet, of the beginning by which it is looked up, and of the windows of that.
+SNIPPET, BEGINNING, WINDOW = 80, 30, 16
+#: Places of the filter of the windows that are looked up: of fixed size, without false negatives.
+_BITS = 1 << 24
+
+
+def _least_windows(text: np.ndarray, window: int, of: int) -> np.ndarray:
+    """Hashes of the windows that are the least of some ``of`` windows in a row."""
+    if len(text) < window:
+        return np.zeros(0, dtype=np.int64)
+    h = np.zeros(len(text) - window + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(window):
+            h = h * np.uint64(0x100000001B3) + text[i : i + len(h)]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+    h = h.view(np.int64)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, of).min(axis=1)) if len(h) >= of else h[:0]
+
+
+def holders(snippets: DataFrame, pieces: DataFrame, key: str, group: str, text: str, place: str) -> DataFrame:
+    """(key, place) of the pieces of the same group whose letters hold the first SNIPPET letters of a snippet (key, group, "key").
+
+    Only windows that some snippet looks up leave a task. A snippet that a text holds has the same least window of its
+    beginning there (winnowing), so that both meet in a join on it and the group, and no true pair is lost; the texts
+    are compared after it. Snippets of fewer than BEGINNING letters are looked for nowhere.
+    """
+    of = BEGINNING - WINDOW + 1
+
+    def code(t: str) -> np.ndarray:
+        return np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["_w"] = [int(_least_windows(code(t[:BEGINNING]), WINDOW, of)[0]) for t in batch["_snippet"]]
+            yield batch
+
+    asked = snippets.where(F.length("key") >= BEGINNING).select(key, group, F.substring("key", 1, SNIPPET).alias("_snippet"))
+    s = cut(asked.mapInPandas(ask, f"{key} {snippets.schema[key].dataType.simpleString()}, {group} string, _snippet string, _w long"))
+    at = f"pmod(_w, {_BITS})"
+    whole = bytearray(_BITS // 8)
+    for r in s.groupBy(F.expr(f"cast({at} div 32768 as int)").alias("b")).agg(F.expr(f"bitmap_construct_agg({at} % 32768)").alias("bits")).collect():  # of fixed size: 2 MB
+        whole[r["b"] * 4096 : r["b"] * 4096 + 4096] = r["bits"]
+    bits = snippets.sparkSession.sparkContext.broadcast(bytes(whole))
+
+    def offer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        looked = np.unpackbits(np.frombuffer(bits.value, dtype=np.uint8), bitorder="little").view(bool)
+        for batch in batches:
+            rows = []
+            for g, p, t in zip(batch[group], batch[place], batch["_text"]):
+                found = _least_windows(code(t), WINDOW, of)
+                rows += [(g, p, t, int(w)) for w in found[looked[found % _BITS]]]
+            yield pd.DataFrame(rows, columns=[group, place, "_text", "_w"])
+
+    body = pieces.select(group, place, T.snippet_key(F.col(text)).alias("_text")).where(F.length("_text") >= BEGINNING)
+    o = body.mapInPandas(offer, f"{group} string, {place} {pieces.schema[place].dataType.simpleString()}, _text string, _w long")
+    return s.join(o, [group, "_w"]).where(F.contains("_text", F.col("_snippet"))).select(key, place)
+
+
 def recall(first: DataFrame, by: list[str]) -> DataFrame:
     """Share of queries whose first relevant rank is within 1, 3, 5 and 10."""
     return first.groupBy(*by).agg(F.count("*").alias("queries"), *[F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 6).alias(f"recall_{k}") for k in (1, 3, 5, 10)])

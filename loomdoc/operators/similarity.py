@@ -10,9 +10,14 @@ def _hashed() -> Column:
     return F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t)))
 
 
+def _class(c: str) -> Column:
+    """What a set is told apart by: 128 bits of it, so that no two different sets are ever taken for one."""
+    return F.md5(F.array_join(F.col(c), ","))
+
+
 def _classes(df: DataFrame, key: Column) -> DataFrame:
     """(c, k, set): one row per set of tokens, which are hashed; ``key`` folds the keys of the rows that have it."""
-    return df.where("key is not null and size(tokens) > 0").select("key", _hashed().alias("set")).groupBy(F.xxhash64("set").alias("c")).agg(key.alias("k"), F.first("set").alias("set"))
+    return df.where("key is not null and size(tokens) > 0").select("key", _hashed().alias("set")).groupBy("set").agg(key.alias("k")).select(_class("set").alias("c"), "k", "set")
 
 
 def _near(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -46,7 +51,7 @@ def jaccard_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
     near = _near(_classes(left, F.lit(None)), _classes(right, F.lit(None)), threshold).select("cl", "cr", "similarity").dropDuplicates(["cl", "cr"])
     sides = {}
     for name, df in (("l", left), ("r", right)):
-        sides[name] = df.where("key is not null and size(tokens) > 0").select(F.col("key").alias(name), F.xxhash64(_hashed()).alias(f"c{name}"))
+        sides[name] = df.where("key is not null and size(tokens) > 0").select(F.col("key").alias(name), _hashed().alias("set")).select(name, _class("set").alias(f"c{name}"))
     return near.join(sides["l"], "cl").join(sides["r"], "cr").select("l", "r", "similarity")
 
 
@@ -58,6 +63,6 @@ def nearest_set(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     """
     near = _near(_classes(left, F.lit(None)), _classes(right, F.min("key")), threshold)
     best = near.groupBy(F.col("cl").alias("c")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("kr").alias("q"))).alias("best"))
-    keys = left.where("key is not null and size(tokens) > 0").select("key", F.xxhash64(_hashed()).alias("c"))
+    keys = left.where("key is not null and size(tokens) > 0").select("key", _hashed().alias("set")).select("key", _class("set").alias("c"))
     least = keys.join(best, "c").groupBy(F.col("key").alias("id")).agg(F.min("best").alias("best"))
     return least.select("id", F.col("best.q").alias("question_id"), F.round(-F.col("best.s"), 6).alias("similarity"))

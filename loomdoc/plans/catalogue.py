@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from loomdoc.plans import citations, retrieval, service, texts  # noqa: F401
+    from loomdoc.plans import citations, pipeline, retrieval, service, store, texts  # noqa: F401
 
     return dict(QUERIES)
 

@@ -25,7 +25,8 @@ def sql_topics(c: str) -> str:
 
 def sql_rules(c: str) -> str:
     cases = ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(coalesce({c},'')), '{w}')" for w in words) + f" THEN '{r}' END" for r, words in lexicon.RULE_TERMS.items())
-    return f"list_concat(regexp_extract_all(lower(coalesce({c},'')), '(?:rule|ru1e|clause|नियम) ?(\\d+)', 1), list_filter([{cases}], lambda t: t IS NOT NULL))"
+    named = f"list_filter(regexp_extract_all(lower(coalesce({c},'')), '(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])(?:rule|clause|section|नियम|खंड)\\s*(\\p{{Nd}}[\\p{{L}}\\p{{M}}\\p{{N}}_]*)', 1), lambda n: regexp_full_match(n, '\\p{{Nd}}+'))"
+    return f"list_concat({named}, list_filter([{cases}], lambda t: t IS NOT NULL))"
 
 
 @query(f"SELECT doc_id, length({_CLEAN}) AS clean_chars, md5({_CLEAN}) AS clean_md5 FROM documents")
@@ -45,7 +46,11 @@ def strip_header_footer(spark, sf_dir):
     return pages.select("page_id", bare.alias("b")).where("size(b) > 0").select("page_id", F.size("b").cast("long").alias("lines"), F.size(F.filter("b", noise)).cast("long").alias("dropped"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT page_id, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM (SELECT page_id, replace(coalesce(max(page_content), ''), chr(13), '') AS t FROM scanned_pages GROUP BY page_id)),
+ s AS (SELECT page_id, i, trim(raw, ' ') AS x FROM l), p AS (SELECT *, lag(x) OVER w AS before FROM s WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+ g AS (SELECT page_id, i, x, sum(CASE WHEN x = '' OR coalesce(before, '') = '' OR regexp_matches(x, '^(?:[-*•▪●]|\d+[.)]|\(?[a-z]\)|Rule |नियम )') OR regexp_matches(before, '[.!?।:]$') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS para FROM p),
+ m AS (SELECT page_id, para, string_agg(x, ' ' ORDER BY i) AS paragraph FROM g WHERE x <> '' GROUP BY page_id, para)
+ SELECT page_id, coalesce(list(paragraph ORDER BY para) FILTER (WHERE paragraph IS NOT NULL), []) AS paragraphs FROM (SELECT DISTINCT page_id FROM scanned_pages) LEFT JOIN m USING (page_id) GROUP BY page_id""")
 def merge_layout_lines(spark, sf_dir):
     return ingest.merged_lines(table(spark, sf_dir, "scanned_pages").dropDuplicates(["page_id"]), "page_id", "page_content")
 
@@ -74,23 +79,31 @@ def script_density(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(share, 6).alias("share"), (F.coalesce(share >= 0.15, F.lit(False)) | F.lower("source").contains("hindi")).alias("hindi"))
 
 
-def _asks(name: str, indic: str) -> str:
-    return f"regexp_matches(x, '(^|[^a-z0-9_])in {name}([^a-z]|$)|(^|[^a-z0-9_]){name} (me|mein|main|please|plz|only)([^a-z]|$)|{indic} (में|मे)')"
+def _asks(language: str, more: str = "") -> str:
+    before, after = r"(?:^|[^\p{L}\p{M}\p{N}_])", r"(?:$|[^\p{L}\p{M}\p{N}_])"
+    forms = (
+        rf"{before}in\s+{language}{after}", rf"{before}{language}\s*(?:me|mein|main|mai|maiin){after}", rf"{before}{language}\s*(?:please|plz|only){after}",
+        rf"{before}(?:reply|answer|respond|write|tell|explain)\s+(?:in\s+)?{language}{after}", rf"{language}\s*(?:में|मे)", *([more] if more else []),
+    )
+    return "(" + " OR ".join(f"regexp_matches(x, '{f}')" for f in forms) + ")"
+
 
+_HINGLISH = r"(?:^|[^\p{L}\p{M}\p{N}_])(" + "|".join(lexicon.HINGLISH) + r")(?:$|[^\p{L}\p{M}\p{N}_])"
 
-@query(f"""SELECT id, CASE WHEN {_asks('english', '(इंग्लिश|अंग्रेजी|अंग्रेज़ी|english)')} THEN 'en' WHEN {_asks('hinglish', 'hinglish')} THEN 'hi-Latn' WHEN {_asks('hindi', '(हिंदी|हिन्दी|hindi)')} THEN 'hi'
- WHEN regexp_matches(x, '[ऀ-ॿ]') THEN 'hi' WHEN regexp_matches(x, '(^|[^a-z0-9_])({'|'.join(lexicon.HINGLISH)})([^a-z0-9_]|$)') THEN 'hi-Latn' ELSE 'en' END AS route FROM (SELECT id, lower(coalesce(query,'')) AS x FROM query_log)""")
+
+@query(f"""SELECT id, CASE WHEN {_asks('english', '(?:इंग्लिश|अंग्रेजी|अंग्रेज़ी|अंगरेजी)\\s*(?:में|मे)')} THEN 'en' WHEN {_asks('hinglish')} THEN 'hi-Latn' WHEN {_asks('hindi')} THEN 'hi'
+ WHEN regexp_matches(x, '[ऀ-ॿ]') THEN 'hi' WHEN regexp_matches(x, '{_HINGLISH}') THEN 'hi-Latn' ELSE 'en' END AS route FROM (SELECT id, lower(coalesce(query,'')) AS x FROM query_log)""")
 def lang_route(spark, sf_dir):
     return table(spark, sf_dir, "query_log").select("id", T.route_language(F.col("query")).alias("route"))
 
 
-def _spelled(c: str) -> str:
+def sql_spelled(c: str) -> str:
     for wrong, right in lexicon.SPELLINGS:
         c = f"regexp_replace({c}, '(?i){wrong}', '{right}', 'g')"
     return c
 
 
-@query(f"SELECT question_id, {_spelled('question')} AS normalized FROM kpi_test_questions")
+@query(f"SELECT question_id, {sql_spelled('question')} AS normalized FROM kpi_test_questions")
 def normalize_query(spark, sf_dir):
     return table(spark, sf_dir, "kpi_test_questions").select("question_id", T.normalize_query(F.col("question")).alias("normalized"))
 
@@ -107,6 +120,35 @@ def rule_extract(spark, sf_dir):
     return chunks.select("chunk_id", F.explode(F.regexp_extract_all(F.lower("page_content"), pattern, F.lit(1))).alias("rule")).groupBy("chunk_id", "rule").agg(F.count("*").alias("mentions"))
 
 
+_CITED = T.CITATION.replace("'", "''")
+
+
+@query(f"""SELECT id, citation, CAST(min(place) AS INTEGER) AS place FROM (SELECT id, place, regexp_replace(regexp_replace(citation, '\\s+', ' ', 'g'), '(?i)^ru1e', 'Rule') AS citation FROM (SELECT id, unnest(f) AS citation, generate_subscripts(f, 1) AS place FROM (SELECT id, list_filter(regexp_extract_all(response, '(?i){_CITED}', 1), lambda x: NOT regexp_matches(x, '(?i)\\s[a-z][\\p{{L}}\\p{{M}}\\p{{N}}_]+$')) AS f FROM (SELECT id, max(response) AS response FROM query_log GROUP BY id)))) GROUP BY id, citation""")
+def rule_citations(spark, sf_dir):
+    """Rules, clauses, sections and chapters that an answer cites, as they are written, with the place of the first."""
+    log = table(spark, sf_dir, "query_log").groupBy("id").agg(F.max("response").alias("response"))
+    found = F.regexp_extract_all("response", F.lit("(?i)" + T.CITATION), F.lit(1))
+    whole = F.filter(found, lambda x: ~x.rlike(r"(?i)\s[a-z][\p{L}\p{M}\p{N}_]+$"))
+    one = log.select("id", F.posexplode(whole).alias("at", "c")).withColumn("citation", F.regexp_replace(F.regexp_replace("c", r"\s+", " "), "(?i)^ru1e", "Rule"))
+    return one.groupBy("id", "citation").agg((F.min("at") + 1).cast("int").alias("place"))
+
+
+@query(f"""SELECT id, len(list_filter(string_split_regex(query, '\\s+'), lambda w: w <> '')) <= 8 OR {' OR '.join(f"contains(lower(query), '{w}')" for w in lexicon.VAGUE)} AS follows FROM (SELECT id, max(query) AS query FROM query_log GROUP BY id) WHERE query IS NOT NULL""")
+def follow_up(spark, sf_dir):
+    """Whether a question needs the turn before it: it is short, or vague."""
+    log = table(spark, sf_dir, "query_log").groupBy("id").agg(F.max("query").alias("query")).where("query is not null")
+    return log.select("id", T.is_follow_up(F.col("query")).alias("follows"))
+
+
+@query("SELECT page_id, md5('--- Page ' || page_num || coalesce(' (' || nullif(ocr, 'native') || ')', '') || ' ---' || chr(10) || page_content) AS framed_md5, page_num AS page FROM (SELECT page_id, max(page_num) AS page_num, max(ocr) AS ocr, max(page_content) AS page_content FROM scanned_pages GROUP BY page_id)")
+def page_frames(spark, sf_dir):
+    """Each page under its marker, with the label of what read it, and the number that is read back from the marker."""
+    pages = table(spark, sf_dir, "scanned_pages").groupBy("page_id").agg(*[F.max(c).alias(c) for c in ("page_num", "ocr", "page_content")])
+    label = F.coalesce(F.concat(F.lit(" ("), F.nullif("ocr", F.lit("native")), F.lit(")")), F.lit(""))
+    framed = F.concat(F.lit("--- Page "), F.col("page_num").cast("string"), label, F.lit(" ---\n"), "page_content")
+    return pages.select("page_id", framed.alias("framed")).select("page_id", F.md5("framed").alias("framed_md5"), T.marked_pages(F.col("framed"))[0].alias("page"))
+
+
 @query(f"SELECT question_id, array_to_string(list_sort(list_distinct({sql_rules('question')})), ',') AS rules, array_to_string(list_sort(list_distinct(list_transform(list_filter({sql_rules('question')}, lambda r: regexp_matches(r, '^1\\d\\d$')), lambda r: '4' || r[2:3]))), ',') AS misread FROM kpi_test_questions")
 def query_rules(spark, sf_dir):
     rules = T.query_rules(F.col("question"))
@@ -118,19 +160,25 @@ def page_extract(spark, sf_dir):
     return table(spark, sf_dir, "query_log").select("id", F.array_join(T.pages(F.col("response")).cast("array<string>"), ",").alias("pages"))
 
 
-def _last(part: str) -> str:
+def _last(part: str, h: str = "h") -> str:
     n = len(part.replace("\\n", "\n"))
     back = "".join(reversed(part))
     lit = " || ".join("chr(10)" if x == "\n" else f"'{x}'" for x in back)
-    return f"(CASE WHEN instr(reverse(h), {lit}) = 0 THEN -1 ELSE length(h) - instr(reverse(h), {lit}) - {n} + 1 END)"
+    return f"(CASE WHEN instr(reverse({h}), {lit}) = 0 THEN -1 ELSE length({h}) - instr(reverse({h}), {lit}) - {n} + 1 END)"
 
 
-_BEST = "greatest(" + ", ".join(f"CASE WHEN {_last(e)} > {lexicon.CHUNK_CHARS - 500} THEN {_last(e)} + {len(e) - 1} ELSE -1 END" for e in lexicon.SENTENCE_ENDS) + ")"
 _TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 
-@query(f"""SELECT doc_id, length(t) AS chars, md5(t) AS cut_md5 FROM (SELECT doc_id, CASE WHEN length(text) <= {lexicon.CHUNK_CHARS} THEN text WHEN {_last(chr(10) * 2)} > {lexicon.CHUNK_CHARS - 500} THEN {_TRIM.format(f'substring(h, 1, {_last(chr(10) * 2)})')}
- WHEN {_BEST} <> -1 THEN {_TRIM.format(f'substring(h, 1, {_BEST} + 1)')} ELSE {_TRIM.format('h')} END AS t FROM (SELECT doc_id, text, substring(text, 1, {lexicon.CHUNK_CHARS}) AS h FROM documents))""")
+def sql_cut(c: str, h: str = "h") -> str:
+    """A text cut at a boundary; ``h`` is its head."""
+    low = lexicon.CHUNK_CHARS - 500
+    best = "greatest(" + ", ".join(f"CASE WHEN {_last(e, h)} > {low} THEN {_last(e, h)} + {len(e) - 1} ELSE -1 END" for e in lexicon.SENTENCE_ENDS) + ")"
+    paragraph = _last(chr(10) * 2, h)
+    return f"CASE WHEN length({c}) <= {lexicon.CHUNK_CHARS} THEN {c} WHEN {paragraph} > {low} THEN {_TRIM.format(f'substring({h}, 1, {paragraph})')} WHEN {best} <> -1 THEN {_TRIM.format(f'substring({h}, 1, {best} + 1)')} ELSE {_TRIM.format(h)} END"
+
+
+@query(f"SELECT doc_id, length(t) AS chars, md5(t) AS cut_md5 FROM (SELECT doc_id, {sql_cut('text')} AS t FROM (SELECT doc_id, text, substring(text, 1, {lexicon.CHUNK_CHARS}) AS h FROM documents))")
 def truncate_boundary(spark, sf_dir):
     x = T.truncate(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", x.alias("t")).select("doc_id", F.length("t").alias("chars"), F.md5("t").alias("cut_md5"))

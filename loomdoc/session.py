@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset on a local master (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomdoc-"))
     return context._jsc.sc().getCheckpointDir().get()
 

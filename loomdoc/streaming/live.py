@@ -20,11 +20,22 @@ def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+        """A batch that is tried again overwrites what it wrote; in complete mode each holds the whole result."""
+        batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={number}")
 
     running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     running.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return spark.read.schema(stream.schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+
+
+def changed(spark: SparkSession, sf_dir: str, name: str, key: str, order: list[str]) -> DataFrame:
+    """A table kept from a stream of its changed rows: every batch is written under its number, and the last row of each key is read."""
+    path = f"{sf_dir}/{name}.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(f"{path}*")
+    written = _run(spark, rows, "append")
+    rest = [c for c in written.columns if c != key]
+    newest = F.struct(*[F.coalesce(c, F.lit("")) if c != order[0] else F.col(c) for c in order])
+    return written.groupBy(key).agg(F.max_by(F.struct(*rest), newest).alias("r")).select(key, "r.*")
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

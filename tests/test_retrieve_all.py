@@ -10,7 +10,7 @@ def test_other_sources_rank_and_no_source_is_needed(spark):
     for block in (1, 2, 2048):
         rows = retrieve.scored_all(questions, chunks, 2, block).orderBy("question_id", "rank").collect()
         got = [(r["question_id"], r["chunk_id"], r["score"]) for r in rows]
-        assert got == [(20, "c2", 23), (20, "c1", 1), (40, "c3", 8), (40, "c1", 0), (60, "c1", 0), (60, "c2", 0), (80, "c2", 23), (80, "c1", 1)]
+        assert got == [(20, "c2", 23), (20, "c1", 1), (40, "c3", 13), (40, "c1", 0), (60, "c1", 0), (60, "c2", 0), (80, "c2", 23), (80, "c1", 1)]
     assert retrieve.scored_all(questions, chunks.where("false"), 2).count() == 0
 
 
