@@ -2,21 +2,25 @@
 
 Noisy channel: each word of a body line may be a misreading of a corpus word under character confusions,
 whose probabilities are estimated from the corpus; Viterbi decoding over the candidates of a line weighs
-them with bigram likelihood. Lines at the edge of a page that recur over pages are furniture, and words
-broken over two lines are joined as the corpus writes them.
+them with bigram likelihood. Candidates are found once for each distinct word, in a table; every page gets
+the words and pairs that it needs by joins. Lines at the edge of a page that recur over pages are furniture,
+and words broken over two lines are joined as the corpus writes them.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomdoc.operators.ranking import spread_join
 from loomdoc.session import cut
 
 #: What is read, and what may have been written.
@@ -33,8 +37,15 @@ _INDIC_DIGITS = str.maketrans("०१२३४५६७८९", "0123456789")
 _STOPS = ".।?!:;"
 #: A word is one in its own right if it is more frequent than this, measured by a word that it may be a misreading of.
 OWN_WORD = 0.12
-#: Share of all words that a word, or a pair, must make up to be in the model: it bounds the model whatever the corpus.
-WORD_SHARE, PAIR_SHARE = 2e-6, 4e-6
+#: Words that make up this share of the corpus, at most 1 / FREQUENT, are sent to the tasks; all others are joined to the pages that have them.
+FREQUENT = 1e-5
+#: Occurrences below which a word of digits and letters is a misread number in any corpus.
+CODE = 5
+#: Share of all pages, or of all pairs of words, above which a header or pair is hot: at most (edge lines of a page) / HOT are.
+HOT = 0.001
+#: Share of the files with an edge line at which it recurs in them, from which it is a header in the others, too.
+RECURS = 0.5
+_BITS = 1 << 24
 
 
 def core(token: str) -> str:
@@ -54,12 +65,6 @@ def page_lines(text: str) -> list[str]:
     return [x.rstrip("\r") for x in text.split("\n")]
 
 
-def edge_lines(lines: list[str]) -> list[int]:
-    """Up to two non-blank lines at the top and two at the foot of a page."""
-    full = [i for i, x in enumerate(lines) if x.strip()]
-    return sorted({*full[:2], *full[-2:]})
-
-
 def is_page_number(line: str, page: int | None) -> bool:
     """Whether a line says only the number of its page, with page words and ornaments."""
     rest = _PAGE_WORDS.sub(" ", line.translate(_INDIC_DIGITS))
@@ -74,44 +79,82 @@ _ALIKE = str.maketrans(dict(zip("o c s i b h f t y".split(), "e e l l h h t t v"
 
 def header_key(line: str, page: int | None) -> str:
     """A line as its copies on other pages are likely to have it: without digits, case, spacing and what is easily misread."""
-    x = re.sub(r"(?<=[a-z])[01569](?=[a-z ]|$)|(?<![\w])[01569](?=[a-z])", lambda m: "olsbg"["01569".index(m[0])], re.sub(r"\s+", " ", line.strip().lower()))
+    x = re.sub(r"\b[\doil|sbgqz]*\d[\doil|sbgqz]*\b", "", line.strip().lower())  # numbers, also with misread digits
+    x = re.sub(r"(?<=[a-z])[01569](?=[a-z ]|$)|(?<![\w])[01569](?=[a-z])", lambda m: "olsbg"["01569".index(m[0])], re.sub(r"\s+", " ", x))
     x = re.sub(r"[\d०-९]+", "", x)
     x = x.replace("rn", "m").replace("vv", "w").replace("cl", "d").replace("ii", "u").replace("ri", "n")
     x = x.translate(_ALIKE)
     return re.sub(r"[^\w ऀ-ॿ-]+|\b[oil|s]\b", "", x).strip(" -")
 
 
-def may_be_header(lines: list[str], i: int, share: float = 0.86) -> bool:
-    """Whether the form of an edge line allows a running title: it leaves some of the width, ends no sentence and heads no column."""
-    line = lines[i].strip()
-    width = max(len(x.strip()) for x in lines)
-    beside = [lines[j].strip() for j in (i - 1, i + 1) if 0 <= j < len(lines)]
-    column = any(re.fullmatch(r"[\d०-९]+(?:[.,]\d+)*", b) for b in beside) and len(line) < 12
-    return len(re.findall(r"[^\W\d_]", line)) > 3 and line[-1] not in _STOPS and not _BREAK.search(line) and len(line) < max(share * width, 12) and not column
+class Shape:
+    """The lines of a page and what the form of each allows."""
+
+    def __init__(self, text: str):
+        self.lines = page_lines(text)
+        self.full = [i for i, x in enumerate(self.lines) if x.strip()]
+        self.width = max((len(x.strip()) for x in self.lines), default=0)
+
+    def may_be_header(self, i: int, share: float = 0.86) -> bool:
+        """Whether the form of a line allows a running title: it leaves some of the width, ends no sentence and heads no column."""
+        line = self.lines[i].strip()
+        if line[-1] in _STOPS or len(line) >= max(share * self.width, 12) or _BREAK.search(line) or len(re.findall(r"[^\W\d_]", line)) <= 3:
+            return False
+        beside = [self.lines[j].strip() for j in (i - 1, i + 1) if 0 <= j < len(self.lines)]
+        return not (len(line) < 12 and any(re.fullmatch(r"[\d०-९]+(?:[.,]\d+)*", b) for b in beside))
+
+    def edge(self, foot: bool) -> Iterator[int]:
+        """Lines from an edge inwards that may be furniture: two of any width, and after them narrow ones for as long as they go on."""
+        for n, i in enumerate(reversed(self.full) if foot else self.full):
+            if n > 1 and not self.may_be_header(i) and re.search(r"[^\W\d_]{4}", self.lines[i]):
+                return
+            yield i
 
 
 def _edge_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for key, path, page, text in zip(batch["page_id"], batch["file_path"], batch["page_num"], batch["page_content"]):
-            lines, page = page_lines(text), None if pd.isna(page) else int(page)
+            shape, page = Shape(text), None if pd.isna(page) else int(page)
             keys: dict[str, bool] = {}
-            for i in edge_lines(lines):
-                if may_be_header(lines, i, 1.01) and (k := header_key(lines[i], page)):
-                    keys[k] = keys.get(k, False) or may_be_header(lines, i)
+            for i in {*shape.edge(False), *shape.edge(True)}:
+                if shape.may_be_header(i, 1.01) and (k := header_key(shape.lines[i], page)):
+                    keys[k] = keys.get(k, False) or shape.may_be_header(i)
             rows += [(key, path, k, narrow) for k, narrow in keys.items()]
         yield pd.DataFrame(rows, columns=["page_id", "file_path", "key", "narrow"])
 
 
+def broken_end(tokens: list[str]) -> bool:
+    return bool(tokens) and len(tokens[-1]) > 1 and _BREAK.search(tokens[-1]) is not None
+
+
+def joined(left: str, right: str) -> tuple[str, str]:
+    """What two parts of a broken word may be: one piece, or a compound."""
+    a, b = core(_BREAK.sub("", left)), core(right)
+    return a + b, f"{a}-{b}"
+
+
+def plain_word(c: str) -> str:
+    return "0" if c and c[0].isdigit() and c[-1].isdigit() else c
+
+
 def words_of(text: str) -> Iterator[list[str]]:
-    """Cores of the words of each line, without those that a line break cuts."""
+    """Words of each line, without those that a line break cuts."""
     cut_before = False
     for line in page_lines(text):
         tokens = line.split()
-        cut_after = bool(tokens) and bool(_BREAK.search(tokens[-1])) and len(tokens[-1]) > 1
+        cut_after = broken_end(tokens)
         whole = tokens[1 if cut_before else 0 : -1 if cut_after else None]
         cut_before = cut_after
-        yield [c for t in whole if (c := core(t))]
+        yield [plain_word(c) for t in whole if (c := core(t))]
+
+
+def joins_of(text: str) -> Iterator[str]:
+    """What the broken words of a text may be."""
+    lines = [line.split() for line in page_lines(text)]
+    for tokens, after in zip(lines, lines[1:]):
+        if broken_end(tokens) and after:
+            yield from joined(tokens[-1], after[0])
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,9 +162,10 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for text in batch["page_content"]:
             for words in words_of(text):
-                plain = ["0" if w[0].isdigit() and w[-1].isdigit() else w for w in words]
-                seen.update(plain)
-                seen.update(f"{a} {b}" for a, b in zip(plain, plain[1:]))
+                seen.update(words)
+                seen.update([f"{a} {b}" for a, b in zip(words, words[1:])])
+            for word in joins_of(text):
+                seen[word] += 0  # asked for, but not seen
         yield pd.DataFrame(list(seen.items()), columns=["gram", "n"])
 
 
@@ -149,127 +193,161 @@ def _chances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(list(total.items()), columns=["confusion", "chances"])
 
 
+class Word(NamedTuple):
+    """A word of the corpus: how often it stands there, how often by its own right, and what it may be a misreading of."""
+
+    seen: int = 0
+    own: float = 0.0
+    options: tuple = ()  # (word, log of the channel's probability, seen, own)
+
+
+_UNSEEN = Word()
+
+
 class Channel:
     """Corrects lines: candidate words by confusions, decoded by Viterbi with bigram likelihood."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[str, int], rates: dict[int, float], total: int):
-        self.words, self.pairs, self.rates, self.total = words, pairs, rates, total
-        self.known: dict[str, float] = {}
-        self.options: dict[str, list[tuple[str, float]]] = {}
-
-    def count(self, word: str) -> float:
-        """Occurrences of a word that misreadings of others do not explain."""
-        if (n := self.known.get(word)) is None:
-            seen = self.words.get(word, 0)
-            rivals = [(m, self.rates[k]) for v, k in variants(word) if (m := self.words.get(v, 0)) > 4 * seen]
-            mistaken = max([6 * sum(m * rate for m, rate in rivals), *(OWN_WORD * m for m, _ in rivals)], default=0.0)
-            n = self.known[word] = float(seen) if seen > mistaken else 0.0
-            if len(self.known) > 500_000:
-                self.known.clear()
-        return n
-
-    def candidates(self, word: str) -> list[tuple[str, float]]:
-        """(word, log of the channel's probability); the word itself first."""
-        if (found := self.options.get(word)) is not None:
-            return found
-        best: dict[str, float] = {}
-        own = self.count(word)
-        once = [(v, math.log(self.rates[k])) for v, k in variants(word)]
-        for v, p in once:
-            if self.count(v) > own:
-                best[v] = max(best.get(v, -99.0), p)
-        if not own and not best and len(word) > 3:
-            for v, p in once:
-                for u, k in variants(v):
-                    if self.count(u) > 0:
-                        best[u] = max(best.get(u, -99.0), p + math.log(self.rates[k]))
-        found = [(word, -0.01), *sorted(best.items(), key=lambda x: -x[1] - math.log(self.count(x[0])))[:6]]
-        if len(self.options) < 500_000:
-            self.options[word] = found
-        return found
-
-    def likelihood(self, before: str, word: str) -> float:
-        n = self.count(word)
-        pair = self.pairs.get(f"{before} {word}", 0) if n else 0
-        return math.log(0.7 * pair / (self.words.get(before, 0) + 1) + 0.3 * (n + 1e-3) / self.total)
-
-    def decode(self, words: list[str]) -> list[str]:
-        path = {"": (0.0, None)}
-        history = []
-        for w in words:
-            now = {}
-            for c, channel in self.candidates(w):
-                score, prev = max((s + self.likelihood(b, c), b) for b, (s, _) in path.items())
-                now[c] = (score + channel, prev)
-            history.append(now)
-            path = now
-        out, at = [], max(path, key=lambda c: path[c][0])
-        for now in reversed(history):
-            out.append(at)
-            at = now[at][1]
-        return out[::-1]
-
-    def join(self, left: str, right: str) -> tuple[str, str]:
-        """A word broken in two: what the corpus writes, in one piece or as a compound, and its repaired form."""
-        plain, compound = left + right, f"{left}-{right}"
-        for w in (plain, compound):
-            if self.count(w) and self.count(w) >= max(self.count(plain), self.count(compound)):
-                return w, w
-        for w in (plain, compound):
-            if len(options := self.candidates(w)) > 1:
-                return w, options[1][0]
-        return plain, plain
+    def __init__(self, words: dict[str, Word], total: int, rare: dict[str, Word] | None = None, pairs: dict[str, int] | None = None):
+        self.words, self.total, self.rare, self.pairs = words, total, rare or {}, pairs or {}
 
+    def word(self, word: str) -> Word:
+        return self.words.get(word) or self.rare.get(word) or _UNSEEN
 
-def repair_page(text: str, page: int | None, headers: set[str], channel: Channel) -> tuple[list[tuple[int, str, str]], str]:
-    """(line_no, kind, word) of what is found on a page, and its text as continuous paragraphs."""
-    lines = page_lines(text)
-    full = [i for i, x in enumerate(lines) if x.strip()]
+    def is_code(self, word: str) -> bool:
+        """Whether letters among digits are meant: the word is a frequent one, as no single misread number is."""
+        return (of := self.words.get(word)) is not None and of.own >= max(CODE, FREQUENT * self.total)
+
+    def windows(self, line: list[str]) -> Iterator[tuple[int, list[list[tuple[str, float, int, float]]]]]:
+        """(first place, options of each word) of every run of words that may be misreadings, with the words beside it."""
+        found = [self.word(w) for w in line]
+        i = 0
+        while i < len(line):
+            if not found[i].options:
+                i += 1
+                continue
+            start = i
+            while i < len(line) and found[i].options:
+                i += 1
+            low, high = max(0, start - 1), min(len(line), i + 1)
+            yield low, [[(line[j], -0.01, found[j].seen, found[j].own), *found[j].options] for j in range(low, high)]
+
+    def asked_pairs(self, line: list[str]) -> Iterator[str]:
+        for _, options in self.windows(line):
+            for left, right in zip(options, options[1:]):
+                yield from (f"{b} {c}" for c, _, _, own in right if own for b, *_ in left)
+
+    def likelihood(self, before: str, seen_before: int, word: str, own: float) -> float:
+        pair = self.pairs.get(f"{before} {word}", 0) if own else 0
+        return math.log(0.7 * pair / (seen_before + 1) + 0.3 * (own + 1e-3) / self.total)
+
+    def decode(self, line: list[str]) -> list[str]:
+        out = list(line)
+        for low, options in self.windows(line):
+            path = {("", 0): (0.0, None)} if low == 0 else None
+            history = []
+            for choices in options:
+                now = {}
+                for word, channel, seen, own in choices:
+                    if path is None:  # the word before a run has one option
+                        now[word, seen] = (0.0, None)
+                        continue
+                    score, prev = max(((s + self.likelihood(*b, word, own), b) for b, (s, _) in path.items()), key=lambda x: x[0])
+                    now[word, seen] = (score + channel, prev)
+                history.append(now)
+                path = now
+            at = max(path, key=lambda c: path[c][0])
+            for j in range(len(history) - 1, -1, -1):
+                out[low + j] = at[0]
+                at = history[j][at][1]
+        return out
+
+    def join(self, left: str, right: str) -> str:
+        """A word broken in two: what the corpus writes, in one piece or as a compound, or its likeliest right form."""
+        plain, compound = joined(left, right)
+        words = [(w, self.word(w)) for w in (plain, compound)]
+        best = max(words, key=lambda x: x[1].own)
+        if best[1].own:
+            return best[0]
+        for _, of in words:
+            if of.options:
+                return max(of.options, key=lambda x: x[1] + math.log(x[3]))[0]
+        return plain
+
+
+class Line(NamedTuple):
+    number: int
+    tokens: list[str]
+    cores: list[str]
+    plain: list[str]
+    numbers: dict[int, str]
+    carried: bool  # its first token belongs to the word that the line before breaks off
+    broken: str | None  # the token that this line's last one goes on in
+    decoded: list[int]
+
+
+def read_page(text: str, page: int | None, headers: set[str], channel: Channel) -> tuple[dict[int, str], list[Line | None]]:
+    """Furniture lines by kind, and the body lines as they are decoded; None for a blank one."""
+    shape = Shape(text)
     furniture: dict[int, str] = {}
-    for run in (full[:2], full[::-1][:2]):
-        for i in run:
+    for foot in (False, True):
+        for i in shape.edge(foot):
             if i in furniture:
                 continue
-            if is_page_number(lines[i], page):
+            if is_page_number(shape.lines[i], page):
                 furniture[i] = "page_number"
-            elif may_be_header(lines, i, 1.01) and header_key(lines[i], page) in headers:
+            elif headers and shape.may_be_header(i, 1.01) and header_key(shape.lines[i], page) in headers:
                 furniture[i] = "header"
             else:
                 break
-    found = [(i + 1, kind, "") for i, kind in furniture.items()]
-    paragraphs, current, carried = [], [], ""
-    body = [i for i in range(len(lines)) if i not in furniture]
-    for n, i in enumerate(body):
-        tokens = lines[i].split()
+    body = [(i, line.split()) for i, line in enumerate(shape.lines) if i not in furniture]
+    out: list[Line | None] = []
+    carried = False
+    for n, (i, tokens) in enumerate(body):
         if not tokens:
-            if current:
-                paragraphs.append(" ".join(current))
-                current = []
+            out.append(None)
+            carried = False
             continue
-        after = lines[body[n + 1]].split() if n + 1 < len(body) else []
+        after = body[n + 1][1] if n + 1 < len(body) else []
         cores = [core(t) for t in tokens]
-        plain = ["0" if c and c[0].isdigit() and c[-1].isdigit() else c for c in cores]
-        numbers = {j: x for j, t in enumerate(tokens) if (x := as_number(t)) and not channel.count(cores[j])}
-        broken = bool(_BREAK.search(tokens[-1])) and len(tokens[-1]) > 1 and bool(after) and after[0][0].isalpha() and (after[0][0].islower() or not after[0][0].isascii() or tokens[-1].isupper())
+        plain = [plain_word(c) for c in cores]
+        numbers = {j: x for j, t in enumerate(tokens) if (x := as_number(t)) and not channel.is_code(cores[j])}
+        broken = broken_end(tokens) and bool(after) and after[0][0].isalpha() and (after[0][0].islower() or not after[0][0].isascii() or tokens[-1].isupper())
         skip = set(numbers) | ({len(tokens) - 1} if broken else set()) | ({0} if carried else set())
-        at = [j for j, c in enumerate(cores) if c and j not in skip and not c.isdigit()]
-        for j, w in zip(at, channel.decode([plain[j] for j in at])):
-            if w != plain[j]:
-                found.append((i + 1, "misread", w))
-                tokens[j] = _put(tokens[j], cores[j], w)
-        for j, w in numbers.items():
-            if not (j == 0 and carried):
-                found.append((i + 1, "misread", w))
-                tokens[j] = _put(tokens[j], cores[j], w)
-        if carried:
+        out.append(Line(i, tokens, cores, plain, numbers, carried, after[0] if broken else None, [j for j, c in enumerate(cores) if c and j not in skip and not c.isdigit()]))
+        carried = broken
+    return furniture, out
+
+
+def repair_page(text: str, page: int | None, headers: set[str], channel: Channel) -> tuple[list[tuple[int, str, str]], str]:
+    """(line_no, kind, word) of what is found on a page, and its text as continuous paragraphs."""
+    furniture, lines = read_page(text, page, headers, channel)
+    found = [(i + 1, kind, "") for i, kind in furniture.items()]
+    paragraphs, current, carried = [], [], ""
+    for line in lines:
+        if line is None:
+            if current or carried:
+                paragraphs.append(" ".join([*current, carried] if carried else current))
+                current, carried = [], ""
+            continue
+        tokens = list(line.tokens)
+        words = [line.plain[j] for j in line.decoded]
+        for j, old, new in zip(line.decoded, words, channel.decode(words)):
+            if new != old:
+                found.append((line.number + 1, "misread", new))
+                tokens[j] = _put(tokens[j], line.cores[j], new)
+        for j, new in line.numbers.items():
+            if not (j == 0 and line.carried):
+                found.append((line.number + 1, "misread", new))
+                tokens[j] = _put(tokens[j], line.cores[j], new)
+        if line.carried:
             tokens[0] = carried + tokens[0][len(re.match(r"[^\W\d_]*(?:[^\W_]|[ऀ-ॣ'’-])*", tokens[0])[0]) :]
             carried = ""
-        if broken:
-            left, right = core(_BREAK.sub("", tokens[-1])), core(after[0])
-            _, word = channel.join(left, right)
-            found.append((i + 1, "hyphen", word))
-            lead = tokens[-1][: len(tokens[-1]) - len(tokens[-1].lstrip("([\"'“"))]
-            carried = lead + (word.capitalize() if tokens[-1].lstrip("([\"'“")[:1].isupper() else word)
+        if line.broken is not None:
+            word = channel.join(tokens[-1], line.broken)
+            found.append((line.number + 1, "hyphen", word))
+            bare = tokens[-1].lstrip("([\"'“")
+            lead = tokens[-1][: len(tokens[-1]) - len(bare)]
+            carried = lead + (word.capitalize() if bare[:1].isupper() else word)
             tokens = tokens[:-1]
         current += tokens
     if current or carried:
@@ -283,41 +361,134 @@ def _put(token: str, old: str, new: str) -> str:
     return token[:at] + shaped + token[at + len(old) :] if at >= 0 else shaped
 
 
+def _two_confusions(rates: dict[int, float], known: dict[int, bytes]):
+    """Words that two confusions may have made a word of; ``known`` is a filter of the hashes of all words of their own right, so that few others come out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        logs = {k: math.log(r) for k, r in rates.items()}
+        for batch in batches:
+            rows = []
+            for w in batch["word"]:
+                best: dict[str, float] = {}
+                for v, k in variants(w):
+                    for u, l in variants(v):
+                        p = logs[k] + logs[l]
+                        if p > best.get(u, -math.inf):
+                            best[u] = p
+                for u, p in best.items():
+                    h = zlib.crc32(u.encode()) % _BITS
+                    bits = known.get(h >> 15)
+                    if bits is not None and bits[(h >> 3) & 4095] >> (h & 7) & 1:
+                        rows.append((w, u, p))
+            yield pd.DataFrame(rows, columns=["word", "option", "log"])
+
+    return run
+
+
+def word_table(words: DataFrame) -> DataFrame:
+    """(word, seen, own, options) of (word, seen): see Word. Every word of the corpus is in it, and judged by all counts.
+
+    A word stands by its own right as often as it is seen, or never, if misreadings of more frequent words
+    explain it. Its options are those that one confusion may have made it of, and stand more often by their
+    own right; only for a word that has neither own right nor such an option, those of two confusions.
+    """
+    near = cut(words.select(F.col("word").alias("gram"), F.col("seen").alias("n")).mapInPandas(_explain, "read string, n_read long, gram string, confusion int").join(words.select(F.col("word").alias("gram"), F.col("seen").alias("n")), "gram"))
+    errors = near.where("n_read > 0 and n >= 8 * n_read").groupBy("confusion").agg(F.sum("n_read").alias("errors"))
+    chances = words.select(F.col("word").alias("gram"), F.col("seen").alias("n")).mapInPandas(_chances, "confusion int, chances long").groupBy("confusion").agg(F.sum("chances").alias("chances"))
+    rates = dict.fromkeys(range(len(CONFUSIONS)), 1e-6) | {r["confusion"]: min(0.2, max(1e-6, r["errors"] / max(1, r["chances"]))) for r in errors.join(chances, "confusion").collect()}  # one row per confusion
+    rate = F.element_at(F.create_map(*[F.lit(x) for k, r in rates.items() for x in (k, float(r))]), F.col("confusion"))
+    mistaken = near.where("n > 4 * n_read").groupBy(F.col("read").alias("word")).agg(F.greatest(6 * F.sum(F.col("n") * rate), OWN_WORD * F.max("n")).alias("mistaken"))
+    own = cut(words.join(mistaken, "word", "left").select("word", "seen", F.when(F.col("seen") > F.coalesce("mistaken", F.lit(0.0)), F.col("seen").cast("double")).otherwise(0.0).alias("own")))
+    right = own.where("own > 0").select(F.col("word").alias("option"), F.col("seen").alias("option_seen"), F.col("own").alias("option_own"))
+    once = (
+        near.groupBy(F.col("read").alias("word"), F.col("gram").alias("option")).agg(F.max(F.log(rate)).alias("log"))
+        .join(right, "option").join(own.select("word", "own"), "word").where("option_own > own").drop("own")
+    )
+    once = cut(once.select("word", "option", "log", "option_seen", "option_own"))
+    place = F.crc32(F.col("option").cast("binary")) % _BITS
+    known = {r["bucket"]: bytes(r["bits"]) for r in right.groupBy(F.shiftright(place, 15).cast("int").alias("bucket")).agg(F.expr(f"bitmap_construct_agg((crc32(cast(option as binary)) % {_BITS}) % 32768)").alias("bits")).collect()}  # of fixed size: 2 MB
+    lost = own.where("own = 0 and length(word) > 3").join(once.select("word").distinct(), "word", "left_anti").select("word")
+    twice = lost.mapInPandas(_two_confusions(rates, known), "word string, option string, log double").join(right, "option").select(once.columns)
+    options = once.unionByName(twice).groupBy("word").agg(F.collect_list(F.struct("option", "log", "option_seen", "option_own")).alias("options"))  # at most what confusions allow
+    return own.join(options, "word", "left")
+
+
+def _word(seen, own, options) -> Word:
+    return Word(int(seen), float(own), tuple((o["option"], o["log"], o["option_seen"], o["option_own"]) for o in options) if options is not None else ())
+
+
+def page_headers(pages: DataFrame) -> DataFrame:
+    """(page_id, headers): keys of the running titles of each page.
+
+    An edge line is one if it recurs in its file, or if it does so in RECURS of all files that have it. Titles
+    of very many pages are joined where these are.
+    """
+    keys = cut(pages.where("file_path is not null").select("page_id", "file_path", "page_num", "page_content").mapInPandas(_edge_keys, "page_id string, file_path string, key string, narrow boolean"))
+    in_file = keys.where("narrow").groupBy("file_path", "key").agg(F.count("*").alias("n"))
+    known = in_file.groupBy("key").agg(F.avg((F.col("n") > 1).cast("double")).alias("recurs"))
+    recurring = cut(in_file.join(known, "key").where((F.col("n") > 1) | (F.col("recurs") >= RECURS)).select("file_path", "key", "n"))
+    titled = spread_join(keys.select("page_id", "file_path", "key"), recurring, ["file_path", "key"], F.col("n") >= max(1.0, HOT * pages.count()))
+    return titled.groupBy("page_id").agg(F.collect_set("key").alias("headers"))  # at most the edge lines of a page
+
+
 def repair_scanned(df: DataFrame) -> DataFrame:
     """(page_id, found, text) per page: what repair_page finds, and the repaired text.
 
     A page_id that comes again counts once. Pages of a null file are no file together. Null or empty content
-    gives an empty page; without a page_num no page number is told. The model that is sent about holds only
-    words and pairs above a fixed share of the corpus, which bounds it; counts cover all pages.
+    gives an empty page; without a page_num no page number is told. Counts cover all pages and all words: the
+    frequent words, of which there are at most 1 / FREQUENT, go to the tasks, and each page gets its other
+    words and the pairs that its line decoding asks for by joins, so that nothing that grows is sent about.
     """
     pages = cut(df.groupBy("page_id").agg(*[F.max(c).alias(c) for c in ("file_path", "page_num")], F.coalesce(F.max("page_content"), F.lit("")).alias("page_content")).where("page_id is not null"))
-    keys = cut(pages.where("file_path is not null").select("page_id", "file_path", "page_num", "page_content").mapInPandas(_edge_keys, "page_id string, file_path string, key string, narrow boolean"))
-    in_file = keys.where("narrow").groupBy("file_path", "key").agg(F.count("*").alias("n"))
-    known = in_file.groupBy("key").agg(F.sum("n").alias("all"))
-    recurring = in_file.join(known, "key").where("n > 1 or all > 3").select("file_path", "key")
-    titled = keys.join(recurring, ["file_path", "key"]).groupBy("page_id").agg(F.collect_set("key").alias("headers"))  # at most the edge lines of a page
-
     grams = cut(pages.select("page_content").mapInPandas(_count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     single = ~F.contains("gram", F.lit(" "))
-    total = grams.where(single).agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
-    words = grams.where(single & (F.col("n") >= WORD_SHARE * total))
-    explained = words.mapInPandas(_explain, "read string, n_read long, gram string, confusion int").join(words, "gram").where("n >= 8 * n_read")
-    errors = explained.groupBy("confusion").agg(F.sum("n_read").alias("errors"))
-    chances = words.mapInPandas(_chances, "confusion int, chances long").groupBy("confusion").agg(F.sum("chances").alias("chances"))
-    rates = dict.fromkeys(range(len(CONFUSIONS)), 1e-6) | {r["confusion"]: min(0.2, max(1e-6, r["errors"] / r["chances"])) for r in errors.join(chances, "confusion").collect()}  # one row per confusion
-    lexicon = {r["gram"]: r["n"] for r in words.collect()}  # at most 1 / WORD_SHARE
-    pairs = {r["gram"]: r["n"] for r in grams.where(~single & (F.col("n") >= PAIR_SHARE * total)).collect()}  # at most 1 / PAIR_SHARE
-    shared = df.sparkSession.sparkContext.broadcast((lexicon, pairs, rates, int(total)))
-    held: list[Channel] = []
+    sizes = grams.groupBy(single.alias("single")).agg(F.sum("n").alias("n")).collect()  # two rows
+    total, pairs_total = ([r["n"] for r in sizes if r["single"] == which] or [1] for which in (True, False))
+    total, pairs_total = max(1, total[0]), max(1, pairs_total[0])
+    words = cut(word_table(grams.where(single).select(F.col("gram").alias("word"), F.col("n").alias("seen"))))
+    often = F.col("seen") >= max(1.0, FREQUENT * total)
+    frequent = {r["word"]: _word(r["seen"], r["own"], r["options"]) for r in words.where(often).collect()}  # at most 1 / FREQUENT
+    shared = df.sparkSession.sparkContext.broadcast((frequent, total))
+
+    def ask_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent = shared.value[0]
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch["page_id"], batch["page_content"]):
+                asked = {w for t in text.split() if (w := core(t))} - sent.keys()
+                asked.update(w for w in joins_of(text) if w not in sent)
+                rows += [(key, w) for w in asked]
+            yield pd.DataFrame(rows, columns=["page_id", "word"])
+
+    asked = pages.select("page_id", "page_content").mapInPandas(ask_words, "page_id string, word string").join(words.where(~often), "word")  # none of them is hot
+    rare = asked.groupBy("page_id").agg(F.collect_list(F.struct("word", "seen", "own", "options")).alias("words"))  # at most the words of a page
+    held = cut(pages.join(page_headers(pages), "page_id", "left").join(rare, "page_id", "left").select("page_id", "page_num", "page_content", "headers", "words"))
+
+    def read(batch: pd.DataFrame) -> Iterator[tuple[str, str, int | None, set[str], Channel]]:
+        sent, size = shared.value
+        for key, page, text, headers, own in zip(batch["page_id"], batch["page_num"], batch["page_content"], batch["headers"], batch["words"]):
+            known = {r["word"]: _word(r["seen"], r["own"], r["options"]) for r in own} if own is not None else {}
+            yield key, text, None if pd.isna(page) else int(page), set(headers) if headers is not None else set(), Channel(sent, size, known)
+
+    def ask_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, text, page, headers, channel in read(batch):
+                _, lines = read_page(text, page, headers, channel)
+                rows += [(key, g) for g in {g for line in lines if line for g in channel.asked_pairs([line.plain[j] for j in line.decoded])}]
+            yield pd.DataFrame(rows, columns=["page_id", "gram"])
+
+    asked_pairs = cut(held.mapInPandas(ask_pairs, "page_id string, gram string"))
+    counted = spread_join(asked_pairs, grams.where(~single), ["gram"], F.col("n") >= max(1.0, HOT * pairs_total))
+    pairs = counted.groupBy("page_id").agg(F.collect_list(F.struct("gram", "n")).alias("pairs"))  # at most what a page asks for
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not held:
-            held.append(Channel(*shared.value))
         for batch in batches:
             rows = []
-            for key, page, text, headers in zip(batch["page_id"], batch["page_num"], batch["page_content"], batch["headers"]):
-                found, clean = repair_page(text, None if pd.isna(page) else int(page), set(headers) if headers is not None else set(), held[0])
+            for (key, text, page, headers, channel), of in zip(read(batch), batch["pairs"]):
+                channel.pairs = {r["gram"]: r["n"] for r in of} if of is not None else {}
+                found, clean = repair_page(text, page, headers, channel)
                 rows.append((key, [{"line_no": i, "kind": k, "word": w} for i, k, w in found], clean))
             yield pd.DataFrame(rows, columns=["page_id", "found", "text"])
 
-    return pages.join(titled, "page_id", "left").select("page_id", "page_num", "page_content", "headers").mapInPandas(run, "page_id string, found array<struct<line_no:int,kind:string,word:string>>, text string")
+    return held.join(pairs, "page_id", "left").mapInPandas(run, "page_id string, found array<struct<line_no:int,kind:string,word:string>>, text string")
