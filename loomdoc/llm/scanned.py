@@ -14,6 +14,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -61,6 +62,18 @@ def as_number(token: str) -> str | None:
     return n.lower() if re.fullmatch(r"\d+(?:[.,/:-]\d+)*", n) and sum(c.isdigit() for c in t) >= (1 if len(t) <= 3 else len(t) / 4) else None
 
 
+_DIGIT = re.compile("[0-9]")
+
+
+@lru_cache(maxsize=200_000)
+def read_token(token: str) -> tuple[str, str, str | None]:
+    """Core, plain word and number of a token; most tokens come again and again."""
+    c = core(token)
+    if c.isalpha() or not _DIGIT.search(c):
+        return c, plain_word(c), None
+    return c, plain_word(c), as_number(token)
+
+
 def page_lines(text: str) -> list[str]:
     return [x.rstrip("\r") for x in text.split("\n")]
 
@@ -93,7 +106,7 @@ class Shape:
     def __init__(self, text: str):
         self.lines = page_lines(text)
         self.full = [i for i, x in enumerate(self.lines) if x.strip()]
-        self.width = max((len(x.strip()) for x in self.lines), default=0)
+        self.width = max((len(self.lines[i].strip()) for i in self.full), default=0)
 
     def may_be_header(self, i: int, share: float = 0.86) -> bool:
         """Whether the form of a line allows a running title: it leaves some of the width, ends no sentence and heads no column."""
@@ -146,7 +159,7 @@ def words_of(text: str) -> Iterator[list[str]]:
         cut_after = broken_end(tokens)
         whole = tokens[1 if cut_before else 0 : -1 if cut_after else None]
         cut_before = cut_after
-        yield [plain_word(c) for t in whole if (c := core(t))]
+        yield [w for t in whole if (w := read_token(t)[1])]
 
 
 def joins_of(text: str) -> Iterator[str]:
@@ -211,7 +224,7 @@ class Channel:
         self.words, self.total, self.rare, self.pairs = words, total, rare or {}, pairs or {}
 
     def word(self, word: str) -> Word:
-        return self.words.get(word) or self.rare.get(word) or _UNSEEN
+        return self.words.get(word) or self.rare.get(word, _UNSEEN)
 
     def is_code(self, word: str) -> bool:
         """Whether letters among digits are meant: the word is a frequent one, as no single misread number is."""
@@ -220,6 +233,8 @@ class Channel:
     def windows(self, line: list[str]) -> Iterator[tuple[int, list[list[tuple[str, float, int, float]]]]]:
         """(first place, options of each word) of every run of words that may be misreadings, with the words beside it."""
         found = [self.word(w) for w in line]
+        if not any(w.options for w in found):
+            return
         i = 0
         while i < len(line):
             if not found[i].options:
@@ -277,8 +292,8 @@ class Channel:
 class Line(NamedTuple):
     number: int
     tokens: list[str]
-    cores: list[str]
-    plain: list[str]
+    cores: tuple[str, ...]
+    plain: tuple[str, ...]
     numbers: dict[int, str]
     carried: bool  # its first token belongs to the word that the line before breaks off
     broken: str | None  # the token that this line's last one goes on in
@@ -308,9 +323,8 @@ def read_page(text: str, page: int | None, headers: set[str], channel: Channel)
             carried = False
             continue
         after = body[n + 1][1] if n + 1 < len(body) else []
-        cores = [core(t) for t in tokens]
-        plain = [plain_word(c) for c in cores]
-        numbers = {j: x for j, t in enumerate(tokens) if (x := as_number(t)) and not channel.is_code(cores[j])}
+        cores, plain, written = zip(*map(read_token, tokens))
+        numbers = {j: x for j, x in enumerate(written) if x and not channel.is_code(cores[j])}
         broken = broken_end(tokens) and bool(after) and after[0][0].isalpha() and (after[0][0].islower() or not after[0][0].isascii() or tokens[-1].isupper())
         skip = set(numbers) | ({len(tokens) - 1} if broken else set()) | ({0} if carried else set())
         out.append(Line(i, tokens, cores, plain, numbers, carried, after[0] if broken else None, [j for j, c in enumerate(cores) if c and j not in skip and not c.isdigit()]))
@@ -455,7 +469,7 @@ def repair_scanned(df: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for key, text in zip(batch["page_id"], batch["page_content"]):
-                asked = {w for t in text.split() if (w := core(t))} - sent.keys()
+                asked = {w for t in set(text.split()) if (w := read_token(t)[0])} - sent.keys()
                 asked.update(w for w in joins_of(text) if w not in sent)
                 rows += [(key, w) for w in asked]
             yield pd.DataFrame(rows, columns=["page_id", "word"])

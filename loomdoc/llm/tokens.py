@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +27,13 @@ def encoding(path: str):
 
 
 def with_tokens(df: DataFrame, text: str, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
-    """(keep..., tokens) of every row with a text. Null texts give no row, empty ones no tokens."""
+    """(keep..., tokens) of every row with a text. Null texts give no row, empty ones no tokens. The vocabulary is sent to the executors."""
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", tokens long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoding(vocabulary).encode_ordinary
+        encode = encoding(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             out = batch[keep].copy()
             out["tokens"] = [len(encode(t)) for t in batch["_text"]]

@@ -165,7 +165,7 @@ def test_header_lines_have_no_number(spark):
 def test_same_items_in_a_hundred_times_the_corpus(spark):
     rng = random.Random(7)
     words = ["tender", "certificate", "committee", "portal", "office", "return", "payment", "minister", "quorum", "zamindar"]
-    texts = [" ".join(rng.choice(words) for _ in range(40)).replace("tender", "tcnder", 1) + "\nzamindar rare " + rng.choice(["lakhpati", "certif-\nicate of it"]) for _ in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)).replace("tender", "tcnder" if i % 13 == 0 else "tender", 1) + "\nzamindar rare " + rng.choice(["lakhpati", "certif-\nicate of it"]) for i in range(40)]
     found = []
     for times in (1, 25):
         df = spark.createDataFrame([(f"p{i}", f"f{i}", 1, t) for i in range(40 * times) for t in [texts[i % 40]]], "page_id string, file_path string, page_num int, page_content string")
