@@ -25,7 +25,7 @@ def nearest(points: DataFrame, queries: DataFrame, key: str, vector: str, k: int
     out, zero vectors are similar to nothing (0), and an empty side gives no row.
     """
     kind = points.schema[key].dataType.simpleString()
-    pairs = _blocks(queries, key, vector, block, "qs").crossJoin(_blocks(points, key, vector, block, "ps"))
+    pairs = _blocks(queries, key, vector, block, "qs").hint("shuffle_replicate_nl").crossJoin(_blocks(points, key, vector, block, "ps"))
 
     def unit(rows) -> tuple[list, np.ndarray]:
         m = np.array([r["v"] for r in rows], dtype=np.float64)

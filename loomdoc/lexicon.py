@@ -2,10 +2,14 @@
 
 # Fixed values, which must equal those of the service whose results are matched.
 STOPWORDS = (
-    "what is the are on for in of to a an and by according about how does regulate when should be held rules rule clause guidelines guideline manual policy say "
-    "transparency having with from that this these those under rules/sections related document documents reference"
-).split()
-TERM_STOPWORDS = "what is the are on for in of to a an and by how kya hai ko ke liye kese kaise kab kon nhi nahi क्या है को के लिए कैसे कब कौन नहीं का की में पर".split()
+    "what", "is", "the", "are", "on", "for", "in", "of", "to", "a", "an", "and", "by", "according", "about", "how", "does", "regulate", "when", "should", "be", "held", "rules", "rule",
+    "clause", "guidelines", "guideline", "manual", "policy", "say", "transparency", "having", "with", "from", "that", "this", "these", "those", "under", "rules/sections", "related",
+    "document", "documents", "reference",
+)
+TERM_STOPWORDS = (
+    "what", "is", "the", "are", "on", "for", "in", "of", "to", "a", "an", "and", "by", "how", "kya", "hai", "ko", "ke", "liye", "kese", "kaise", "kab", "kon", "nhi", "nahi", "क्या", "है",
+    "को", "के", "लिए", "कैसे", "कब", "कौन", "नहीं", "का", "की", "में", "पर",
+)
 SPELLINGS = (
     ("submissiom", "submission"), ("submisson", "submission"), ("submitt", "submit"), ("tendor", "tender"), ("tenders", "tender"), ("emc", "emd"),
     ("bidding", "bid submission"), ("courruption", "corruption"), ("coruption", "corruption"), ("corrupcion", "corruption"),
@@ -50,7 +54,9 @@ VAGUE = (
     "yeh", "iska", "uska", "aage", "next", "phir", "baad", "step", "kya karu", "kya karna", "nahi", "nhi", "problem", "issue", "samajh", "bata", "detail", "explain", "aur", "woh", "waha",
     "this", "that", "it", "then", "after", "before", "above", "below",
 )
-HINGLISH = "kya ko hain ke liye hona chahiye fayde fayda milega milte kab kaise kon kis nhi nahi sakte".split()
+HINGLISH = (
+    "kya", "ko", "hain", "ke", "liye", "hona", "chahiye", "fayde", "fayda", "milega", "milte", "kab", "kaise", "kon", "kis", "nhi", "nahi", "sakte",
+)
 SENTENCE_ENDS = (". ", "। ", ".\n", "।\n", "\n")
 ROLES = (("vendor", "vendor"), ("govt", "government_officer"))
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 150

@@ -70,7 +70,7 @@ def scored_all(questions: DataFrame, chunks: DataFrame, k: int, block: int = 204
     asked = asked.withColumn("key", F.xxhash64("features"))
     classes = asked.groupBy("key").agg(F.first("features").alias("features"))
     posts = chunks.select(F.col("chunk_id").alias("key"), _features(F.col("page_content"), T.cited_rules(F.col("page_content"))).alias("features"))
-    pairs = _feature_blocks(classes, block, "q").crossJoin(_feature_blocks(posts, block, "c"))
+    pairs = _feature_blocks(classes, block, "q").hint("shuffle_replicate_nl").crossJoin(_feature_blocks(posts, block, "c"))
 
     def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -50,10 +50,11 @@ def citation_refs(spark, sf_dir):
     return log.select("id", url.alias("url"), F.when(F.size("pages") == 1, "Reference").otherwise(F.array_join(F.slice("pages", 1, 3), ", ")).alias("shown"))
 
 
-@query(f"SELECT source, array_to_string(list_filter(string_split_regex(lower(regexp_replace(source, '\\.[^.]+$', '')), '[-_. ]+'), lambda w: length(w) > 3 AND w NOT IN {_STOP}), ' ') AS keywords, count(*) AS chunks FROM chunks GROUP BY source")
+@query(f"SELECT source, array_to_string(CASE WHEN len(k) > 0 THEN k ELSE w[1:3] END, ' ') AS keywords, chunks FROM (SELECT source, w, list_filter(w, lambda x: length(x) > 3 AND x NOT IN {_STOP}) AS k, chunks FROM (SELECT source, string_split_regex(lower(regexp_replace(source, '\\.[^.]+$', '')), '[-_. ]+') AS w, count(*) AS chunks FROM chunks GROUP BY source))")
 def source_keywords(spark, sf_dir):
-    words = F.filter(F.split(F.lower(F.regexp_replace("source", r"\.[^.]+$", "")), "[-_. ]+"), lambda w: (F.length(w) > 3) & ~w.isin(*[x.strip("'") for x in _STOP.strip("()").split(",")]))
-    return table(spark, sf_dir, "chunks").groupBy("source").agg(F.count("*").alias("chunks")).select("source", F.array_join(words, " ").alias("keywords"), "chunks")
+    every = F.split(F.lower(F.regexp_replace("source", r"\.[^.]+$", "")), "[-_. ]+")
+    words = F.filter(every, lambda w: (F.length(w) > 3) & ~w.isin(*[x.strip("'") for x in _STOP.strip("()").split(",")]))
+    return table(spark, sf_dir, "chunks").groupBy("source").agg(F.count("*").alias("chunks")).select("source", F.array_join(F.when(F.size(words) > 0, words).otherwise(F.slice(every, 1, 3)), " ").alias("keywords"), "chunks")
 
 
 @query("""WITH t AS (SELECT session_id, id, max(received_at) AS received_at, max(query) AS query, max(response) AS response FROM session_log WHERE session_id IS NOT NULL GROUP BY ALL),

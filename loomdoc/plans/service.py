@@ -130,6 +130,6 @@ def live_metrics(spark, sf_dir):
     return live.metrics(spark, sf_dir)
 
 
-@query()
+@query("SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) AS events FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)) GROUP BY user_id, s")
 def live_sessions(spark, sf_dir):
     return live.sessions(spark, sf_dir)

@@ -11,6 +11,7 @@ from loomdoc.operators import ingest, logs, retrieve
 from loomdoc.plans.catalogue import query, sql_list
 from loomdoc.plans.texts import _HINGLISH, _asks, sql_spelled
 from loomdoc.session import table
+from loomdoc.sources import files
 from loomdoc.streaming import live
 
 _FED = "lower(regexp_replace(feedback, '^\\s+|\\s+$', '', 'g'))"
@@ -51,8 +52,8 @@ def ingest_incremental(spark, sf_dir):
 @query("SELECT role, coalesce(list_sort(list(source) FILTER (WHERE is_active = contains(source, 'Hindi'))), []) AS deactivated FROM source_files GROUP BY role")
 def deactivated_toggled(spark, sf_dir):
     """Deactivated documents per role after each Hindi edition is toggled: out of the list if it is in, else into it."""
-    files = table(spark, sf_dir, "source_files").groupBy("role").agg(F.collect_list(F.when(~F.col("is_active"), F.col("source"))).alias("off"), F.collect_list(F.when(F.col("source").contains("Hindi"), F.col("source"))).alias("named"))  # a fixed table
-    return files.select("role", F.array_sort(T.toggled(F.col("off"), F.col("named"))).alias("deactivated"))
+    listed = table(spark, sf_dir, "source_files").groupBy("role").agg(F.collect_list(F.when(~F.col("is_active"), F.col("source"))).alias("off"), F.collect_list(F.when(F.col("source").contains("Hindi"), F.col("source"))).alias("named"))  # a fixed table
+    return listed.select("role", F.array_sort(T.toggled(F.col("off"), F.col("named"))).alias("deactivated"))
 
 
 @query(f"""WITH l AS (SELECT lower(trim(query)) AS key, response AS answer, received_at, id FROM {_LAST} WHERE trim(coalesce(query, '')) <> '' AND response IS NOT NULL AND {_FED} = 'satisfied')
@@ -221,8 +222,8 @@ def session_store(spark, sf_dir):
 def stratified_alternating(spark, sf_dir):
     """The first question of five evenly spaced files, by turns in Latin and in Devanagari script."""
     questions = table(spark, sf_dir, "kpi_test_questions").where("source_file is not null").select("source_file", "question_id", F.col("question").rlike("[ऀ-ॿ]").alias("indic"))
-    files = questions.select("source_file").distinct()  # a row per source file, a fixed table
-    placed = files.withColumn("i", F.row_number().over(Window.orderBy("source_file")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
+    named = questions.select("source_file").distinct()  # a row per source file, a fixed table
+    placed = named.withColumn("i", F.row_number().over(Window.orderBy("source_file")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
     chosen = placed.select("source_file", "i", "n", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("place")).where(F.col("i") == F.floor(F.col("place") * F.col("n") / 5)).select("source_file", "place")
     return questions.join(F.broadcast(chosen), "source_file").where(F.col("indic") == (F.col("place") % 2 == 1)).groupBy("place", "source_file").agg(F.min("question_id").alias("question_id"))
 
@@ -231,8 +232,8 @@ def stratified_alternating(spark, sf_dir):
 def citation_links(spark, sf_dir):
     """The address of each page in the document that it belongs to."""
     pages = table(spark, sf_dir, "scanned_pages").groupBy("page_id").agg(F.max("source").alias("source"), F.max("page_num").alias("page_num"))
-    files = F.broadcast(table(spark, sf_dir, "source_files").select("source", "category"))  # a fixed table
-    return pages.join(files, "source").select("page_id", F.concat(F.lit("/docs/"), "category", F.lit("/"), T.display_source(F.col("source")), F.lit("#page="), F.col("page_num").cast("string")).alias("url"))
+    known = F.broadcast(table(spark, sf_dir, "source_files").select("source", "category"))  # a fixed table
+    return pages.join(known, "source").select("page_id", F.concat(F.lit("/docs/"), "category", F.lit("/"), T.display_source(F.col("source")), F.lit("#page="), F.col("page_num").cast("string")).alias("url"))
 
 
 @query(f"""WITH t AS (SELECT chunk_id, source, topics FROM {_LATEST}), s AS (SELECT DISTINCT source, list_filter(string_split_regex(lower(regexp_replace(source, '\\.[^.]+$', '')), '[-_. ]+'), lambda w: w IN ('tender', 'portal', 'audit', 'gfr', 'emd', 'vendor')) AS named FROM t)
@@ -244,3 +245,29 @@ def topics_united(spark, sf_dir):
     words = F.split(F.lower(F.regexp_replace("source", r"\.[^.]+$", "")), "[-_. ]+")
     named = F.filter(words, lambda w: w.isin("tender", "portal", "audit", "gfr", "emd", "vendor"))
     return chunks.select("chunk_id", F.array_join(F.filter(F.array_distinct(F.concat(stored, named)), lambda x: x != ""), ",").alias("topics"))
+
+
+_SIGNS = (("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "-"), ("…", "..."), ("•", "-"), ("₹", "Rs."))
+
+
+def _sql_latin(c: str) -> str:
+    for sign, plain in _SIGNS:
+        c = f"replace({c}, '{sign}', '{plain.replace(chr(39), chr(39) * 2)}')"
+    return c
+
+
+@query(f"SELECT doc_id, md5({_sql_latin('text')}) AS latin_md5 FROM documents")
+def latin_signs(spark, sf_dir):
+    """Typographic signs of a text written in Latin-1, for printing."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(files.latin1(F.col("text"))).alias("latin_md5"))
+
+
+@query("""WITH t AS (SELECT session_id, id, max(received_at) AS seen, max(query) AS query, max(response) AS response FROM session_log WHERE session_id IS NOT NULL GROUP BY session_id, id),
+ m AS (SELECT session_id, seen, id, 0 AS turn, 'user: ' || query AS line FROM t WHERE query IS NOT NULL UNION ALL SELECT session_id, seen, id, 1, 'assistant: ' || response FROM t WHERE response IS NOT NULL)
+ SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seen, id, turn) AS line_no, md5(line) AS line_md5 FROM m""")
+def transcript_lines(spark, sf_dir):
+    """Each conversation as numbered lines of speaker and text, however long it is."""
+    turns = table(spark, sf_dir, "session_log").where("session_id is not null").groupBy("session_id", "id").agg(*[F.max(c).alias(c) for c in ("received_at", "query", "response")])
+    said = [turns.select("session_id", "received_at", "id", F.lit(n).alias("turn"), F.lit(who).alias("speaker"), F.col(c).alias("text")).where("text is not null") for n, who, c in ((0, "user", "query"), (1, "assistant", "response"))]
+    lines = files.transcript(said[0].unionByName(said[1]), "session_id", [F.col("received_at").asc(), F.col("id").asc(), F.col("turn").asc()], "speaker", "text")
+    return lines.select("session_id", "line_no", F.md5("line").alias("line_md5"))

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdoc.operators.ranking import spread_positions
+
 GLOB = "*.{txt,TXT,docx,DOCX}"
 
 
@@ -57,10 +58,27 @@ def write_store(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").partitionBy("source_db").parquet(path)
 
 
-def transcript(messages: DataFrame, session: str, order: str, speaker: str, text: str) -> DataFrame:
-    """(session, value): each conversation as lines of speaker and text in order."""
-    line = F.concat_ws(": ", speaker, text)
-    return messages.groupBy(session).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x.l), "\n").alias("value"))
+def drop_collections(spark: SparkSession, path: str, names: list[str]) -> None:
+    """Takes stores out of a table that ``write_store`` wrote: their folders are deleted, the others stay as they are. Unknown names do nothing."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in names:
+        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"source_db={name}"), True)
+
+
+def append_log(entries: DataFrame, path: str) -> None:
+    """Adds entries to a stored log; the newest come first when it is read (logs.once)."""
+    entries.write.mode("append").parquet(path)
+
+
+def write_config(config: DataFrame, path: str, known: list[str]) -> None:
+    """One row of settings, of the known ones only, in place of what was there."""
+    config.select(*[F.col(k) for k in known if k in config.columns]).coalesce(1).write.mode("overwrite").json(path)
+
+
+def transcript(messages: DataFrame, session: str, order: list[Column], speaker: str, text: str) -> DataFrame:
+    """(session, line_no, line): each conversation as lines of speaker and text in order; ``order`` ends in a unique key. A conversation may be of any length."""
+    return spread_positions(messages, [session], order, "line_no").select(session, "line_no", F.concat_ws(": ", speaker, text).alias("line"))
 
 
 def latin1(c):
@@ -68,7 +86,3 @@ def latin1(c):
     for sign, plain in zip("‘’“”–—…•₹", ("'", "'", '"', '"', "-", "-", "...", "-", "Rs.")):
         c = F.replace(c, F.lit(sign), F.lit(plain))
     return c
-
-
-def stem(path: str) -> str:
-    return re.sub(r"\.[^.]+$", "", path.rsplit("/", 1)[-1])
