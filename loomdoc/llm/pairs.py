@@ -139,9 +139,11 @@ def is_copy(query: str, response: str) -> bool:
         return not parts or " ".join(parts) in BARE or _lost(asked, parts)
     if _lost(asked, parts):
         return True
-    for m in _INTRODUCED.finditer(response):  # a sentence that introduces the question, and nothing after it
+    for m in reversed(list(_INTRODUCED.finditer(response))):  # a sentence that introduces the question, and nothing after it
         rest = letters(response[m.end() :])
-        if len(rest) <= n and (rest == asked or _lost(asked, rest)) and _ASKING.search(response[: m.end()]):
+        if len(rest) > n:
+            return False
+        if (rest == asked or _lost(asked, rest)) and _ASKING.search(response[: m.end()]):
             return True
     return False
 

@@ -423,12 +423,21 @@ def word_table(words: DataFrame) -> DataFrame:
     known = {r["bucket"]: bytes(r["bits"]) for r in right.groupBy(F.shiftright(place, 15).cast("int").alias("bucket")).agg(F.expr(f"bitmap_construct_agg((crc32(cast(option as binary)) % {_BITS}) % 32768)").alias("bits")).collect()}  # of fixed size: 2 MB
     lost = own.where("own = 0 and length(word) > 3").join(once.select("word").distinct(), "word", "left_anti").select("word")
     twice = lost.mapInPandas(_two_confusions(rates, known), "word string, option string, log double").join(right, "option").select(once.columns)
-    options = once.unionByName(twice).groupBy("word").agg(F.collect_list(F.struct("option", "log", "option_seen", "option_own")).alias("options"))  # at most what confusions allow
+    options = once.unionByName(twice).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("option", "log", "option_seen", "option_own"))).alias("options"))  # at most what confusions allow
     return own.join(options, "word", "left")
 
 
-def _word(seen, own, options) -> Word:
-    return Word(int(seen), float(own), tuple((o["option"], o["log"], o["option_seen"], o["option_own"]) for o in options) if options is not None else ())
+#: The options of a word as one string, which is read quicker in a task than nested rows: a line each, of words without blanks.
+_OPTIONS = "array_join(transform(options, o -> concat_ws(' ', o.option, cast(o.log as string), cast(o.option_seen as string), cast(o.option_own as string))), '\\n')"
+
+
+@lru_cache(maxsize=100_000)
+def _options(written: str) -> tuple:
+    return tuple((o, float(p), int(seen), float(own)) for o, p, seen, own in (x.split(" ") for x in written.split("\n")))
+
+
+def _word(seen, own, written: str | None) -> Word:
+    return Word(int(seen), float(own), _options(written) if written else ())
 
 
 def page_headers(pages: DataFrame) -> DataFrame:
@@ -459,7 +468,7 @@ def repair_scanned(df: DataFrame) -> DataFrame:
     sizes = grams.groupBy(single.alias("single")).agg(F.sum("n").alias("n")).collect()  # two rows
     total, pairs_total = ([r["n"] for r in sizes if r["single"] == which] or [1] for which in (True, False))
     total, pairs_total = max(1, total[0]), max(1, pairs_total[0])
-    words = cut(word_table(grams.where(single).select(F.col("gram").alias("word"), F.col("n").alias("seen"))))
+    words = cut(word_table(grams.where(single).select(F.col("gram").alias("word"), F.col("n").alias("seen"))).select("word", "seen", "own", F.expr(_OPTIONS).alias("options")))
     often = F.col("seen") >= max(1.0, FREQUENT * total)
     frequent = {r["word"]: _word(r["seen"], r["own"], r["options"]) for r in words.where(often).collect()}  # at most 1 / FREQUENT
     shared = df.sparkSession.sparkContext.broadcast((frequent, total))
@@ -475,13 +484,15 @@ def repair_scanned(df: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", "word"])
 
     asked = pages.select("page_id", "page_content").mapInPandas(ask_words, "page_id string, word string").join(words.where(~often), "word")  # none of them is hot
-    rare = asked.groupBy("page_id").agg(F.collect_list(F.struct("word", "seen", "own", "options")).alias("words"))  # at most the words of a page
-    held = cut(pages.join(page_headers(pages), "page_id", "left").join(rare, "page_id", "left").select("page_id", "page_num", "page_content", "headers", "words"))
+    rare = asked.groupBy("page_id").agg(F.collect_list(F.struct("word", "seen", "own", F.coalesce("options", F.lit("")).alias("options"))).alias("words"))  # at most the words of a page
+    columns = ("word", "seen", "own", "options")
+    rare = rare.select("page_id", *[F.col(f"words.{c}").alias(c) for c in columns])
+    held = cut(pages.join(page_headers(pages), "page_id", "left").join(rare, "page_id", "left").select("page_id", "page_num", "page_content", "headers", *columns))
 
     def read(batch: pd.DataFrame) -> Iterator[tuple[str, str, int | None, set[str], Channel]]:
         sent, size = shared.value
-        for key, page, text, headers, own in zip(batch["page_id"], batch["page_num"], batch["page_content"], batch["headers"], batch["words"]):
-            known = {r["word"]: _word(r["seen"], r["own"], r["options"]) for r in own} if own is not None else {}
+        for key, page, text, headers, *of in zip(batch["page_id"], batch["page_num"], batch["page_content"], batch["headers"], *[batch[c] for c in columns]):
+            known = {w: _word(*r) for w, *r in zip(*of)} if of[0] is not None else {}
             yield key, text, None if pd.isna(page) else int(page), set(headers) if headers is not None else set(), Channel(sent, size, known)
 
     def ask_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -494,13 +505,13 @@ def repair_scanned(df: DataFrame) -> DataFrame:
 
     asked_pairs = cut(held.mapInPandas(ask_pairs, "page_id string, gram string"))
     counted = spread_join(asked_pairs, grams.where(~single), ["gram"], F.col("n") >= max(1.0, HOT * pairs_total))
-    pairs = counted.groupBy("page_id").agg(F.collect_list(F.struct("gram", "n")).alias("pairs"))  # at most what a page asks for
+    pairs = counted.groupBy("page_id").agg(F.collect_list(F.struct("gram", "n")).alias("pairs")).select("page_id", F.col("pairs.gram").alias("grams"), F.col("pairs.n").alias("counts"))  # at most what a page asks for
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for (key, text, page, headers, channel), of in zip(read(batch), batch["pairs"]):
-                channel.pairs = {r["gram"]: r["n"] for r in of} if of is not None else {}
+            for (key, text, page, headers, channel), asked, counts in zip(read(batch), batch["grams"], batch["counts"]):
+                channel.pairs = dict(zip(asked, counts.tolist())) if asked is not None else {}
                 found, clean = repair_page(text, page, headers, channel)
                 rows.append((key, [{"line_no": i, "kind": k, "word": w} for i, k, w in found], clean))
             yield pd.DataFrame(rows, columns=["page_id", "found", "text"])

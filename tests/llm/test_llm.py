@@ -47,6 +47,7 @@ def test_every_query_runs(spark, sf, name):
         ("Who approves the tender?", "You asked: who approves the tender", "copy"), ("Who approves the tender above Rs. 5,000 in a year?", "Q: Who approves the tender above Rs 5000 in year", "copy"),
         ("Who approves the tender?", "I'm sorry, that is beyond my remit. Please contact the helpdesk.", "refusal"), ("bid ka niyam?", "Ye mere daayre se bahar hai.", "refusal"), ("नियम क्या है?", "क्षमा करें, मैं इस प्रश्न का उत्तर देने में असमर्थ हूँ।", "refusal"),
         ("Who approves the tender?", "The rates remain firm.\n1. The first.\n2.", "truncated"), ("Who approves the tender?", "The committee met. because of the", "truncated"),
+        ("बैंक गारंटी की प्रक्रिया क्या है? जवाब इंग्लिश में चाहिए।", "The committee met and found the tender in order.", None), ("बैंक गारंटी की प्रक्रिया क्या है?", "The committee met and found the tender in order.", "other_language"),
         ("Who approves the tender?", "समिति का निर्णय अंतिम माना जाएगा।", "other_language"), ("Who approves the tender? Please reply in Hindi.", "समिति का निर्णय अंतिम माना जाएगा।", None),
         ("Who approves the tender?", "Sorry for the wait. The committee met and found the tender in order.", None), ("Who approves the tender?", "The committee met and found the tender in order. (Page 12)", None),
     ],
@@ -469,10 +470,10 @@ def test_an_entity_has_one_surrogate_over_all_texts(spark):
 
 def test_surrogates_do_not_collide(spark):
     """Two-letter names collide for certain; all are distinct in the end and none is an entity."""
-    entities = [("person_name", f"{a}{b} {c}{d}") for a in "bcdg" for b in "ae" for c in "klmn" for d in "io"]
+    entities = [("person_name", f"{a}{b} {c}{d}") for a in "bcdg" for b in "ae" for c in "klmn" for d in "io"] + [("email", f"{a}{b}@x.test") for a in "bcdghjklmnprstv" for b in "aeiou"] + [("email", "fa@x.test"), ("email", "wi@x.test")]
     df = spark.createDataFrame([(k, e, "", i) for i, (k, e) in enumerate(entities)], "kind string, entity string, gender string, n int")
     drawn = personal.entity_surrogates(df, "k").collect()
-    assert len({r["surrogate"] for r in drawn}) == len(entities) and not {r["surrogate"] for r in drawn} & {e for _, e in entities}
+    assert len({(r["kind"], r["surrogate"]) for r in drawn}) == len(entities) and not {r["surrogate"] for r in drawn} & {e for _, e in entities}
     assert {r["surrogate"] for r in drawn} != {r["surrogate"] for r in personal.entity_surrogates(df, "other").collect()}
 
 
