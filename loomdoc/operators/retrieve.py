@@ -14,7 +14,7 @@ from loomdoc import lexicon
 from loomdoc.functions import text as T
 from loomdoc.operators.ranking import spread_before
 from loomdoc.operators.similarity import jaccard_join
-from loomdoc.session import cut, tasks
+from loomdoc.session import cut
 
 #: What a term, rule or topic that question and chunk have in common adds to the score.
 WEIGHTS = {"term": 1, "rule": 20, "topic": 5}
@@ -36,41 +36,36 @@ def search_queries(question: Column) -> Column:
     return F.array_distinct(F.concat(F.array(n), F.transform(T.topics(n), lambda t: F.concat(n, F.lit(" "), t)), F.flatten(F.transform(T.query_rules(n), forms))))
 
 
-def scored_top(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(question_id, chunk_id, source, score, rank): the best k chunks of each question's source. Terms, rules and topics are found once per chunk."""
-    q = questions.select("question_id", F.col("source_file").alias("source"), T.tokens(F.col("question")).alias("qt"), T.query_rules(F.col("question")).alias("qr"), T.topics(F.col("question")).alias("qtop"))
-    c = chunks.select("chunk_id", "source", T.tokens(F.col("page_content")).alias("ct"), T.cited_rules(F.col("page_content")).alias("cr"), T.topics(F.col("page_content")).alias("ctop"))
-    score = F.size(F.array_intersect("qt", "ct")) + 20 * F.size(F.array_intersect("qr", "cr")) + 5 * F.size(F.array_intersect("qtop", "ctop"))
-    by = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
-    return q.join(c, "source").select("question_id", "chunk_id", "source", score.cast("long").alias("score")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-
-
 def _features(text: Column, rules: Column) -> Column:
     """Terms, rules and topics of a text as one array of distinct hashes, each with its weight in the lowest byte."""
     mark = lambda kind, c: F.transform(c, lambda x: F.shiftleft(F.xxhash64(F.lit(kind), x), 8).bitwiseOR(F.lit(WEIGHTS[kind]).cast("long")))
     return F.array_sort(F.concat(mark("term", T.tokens(text)), mark("rule", rules), mark("topic", T.topics(text))))
 
 
-def _feature_blocks(df: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks of about ``size`` rows of (key, features) by hash of the key: keys, numbers of features, features on end."""
+def _feature_blocks(df: DataFrame, size: int, name: str, by: list[str]) -> tuple[DataFrame, int]:
+    """Blocks of at most about ``size`` rows of (key, features), of one group of ``by``, by hash of the key: keys, numbers of features, features on end; and into how many a group is cut."""
+    df = cut(df)  # counted and cut into blocks: features are found once
     n = max(1, math.ceil(df.count() / size))
-    rows = df.select(F.pmod(F.xxhash64("key"), F.lit(n)).alias("b"), F.struct("key", "features").alias("x")).repartition(min(n, tasks(df.sparkSession)), "b")
-    x = rows.groupBy("b").agg(F.collect_list("x").alias("x"))
-    return x.select(F.col("x.key").alias(f"{name}_keys"), F.transform("x", lambda r: F.size(r["features"])).alias(f"{name}_sizes"), F.flatten("x.features").alias(f"{name}_features"))
+    rows = df.select(*by, F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("b"), F.struct("key", "features").alias("x"))
+    x = rows.groupBy(*by, "b").agg(F.collect_list("x").alias("x"))
+    return x.select(*by, "b", F.col("x.key").alias(f"{name}_keys"), F.transform("x", lambda r: F.size(r["features"])).alias(f"{name}_sizes"), F.flatten("x.features").alias(f"{name}_features")), n
 
 
-def scored_all(questions: DataFrame, chunks: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """(question_id, chunk_id, score, rank): the best k of all chunks for each question, ties by chunk_id.
+def scored(questions: DataFrame, chunks: DataFrame, k: int, by: str | None = None, block: int = 2048) -> DataFrame:
+    """(question_id, chunk_id, score, rank): the best k chunks for each question, of all or of those with its value of ``by``; ties by chunk_id.
 
     Blocks of questions meet blocks of chunks as in ``vector.nearest``; what is ranked at the end is k
     rows per question and block of chunks. Questions with equal terms, rules and topics are scored
-    once. Chunks that have nothing in common score 0, as in the source-restricted form.
+    once. Chunks that have nothing in common score 0. A null value of ``by`` has no chunks.
     """
-    asked = questions.select("question_id", _features(F.col("question"), T.query_rules(F.col("question"))).alias("features")).dropDuplicates()
-    asked = asked.withColumn("key", F.xxhash64("features"))
-    classes = asked.groupBy("key").agg(F.first("features").alias("features"))
-    posts = chunks.select(F.col("chunk_id").alias("key"), _features(F.col("page_content"), T.cited_rules(F.col("page_content"))).alias("features"))
-    pairs = _feature_blocks(classes, block, "q").hint("shuffle_replicate_nl").crossJoin(_feature_blocks(posts, block, "c"))
+    group = [by] if by else []
+    asked = questions.select("question_id", *group, _features(F.col("question"), T.query_rules(F.col("question"))).alias("features")).dropDuplicates()
+    asked = asked.withColumn("key", F.xxhash64(*group, "features"))
+    classes = asked.groupBy(*group, "key").agg(F.first("features").alias("features"))
+    posts = chunks.select(*group, F.col("chunk_id").alias("key"), _features(F.col("page_content"), T.cited_rules(F.col("page_content"))).alias("features"))
+    (left, _), (right, parts) = _feature_blocks(classes, block, "q", group), _feature_blocks(posts, block, "c", group)
+    meets = left.drop("b").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))  # each block of questions meets every block of its chunks, in tasks of their own
+    pairs = meets.join(right.hint("shuffle_hash"), [*group, "b"])
 
     def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -96,30 +91,33 @@ def scored_all(questions: DataFrame, chunks: DataFrame, k: int, block: int = 204
                     best[i] = np.partition(ranked, len(ck) - most)[len(ck) - most :]
                 yield pd.DataFrame({"key": np.repeat(np.asarray(qk, dtype=np.int64), most), "chunk_id": ck[len(ck) - 1 - best % len(ck)].ravel(), "score": (best // len(ck)).ravel()})
 
-    found = pairs.mapInPandas(top, "key long, chunk_id string, score long")
-    by = Window.partitionBy("key").orderBy(F.desc("score"), "chunk_id")
-    ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    found = pairs.select(*[f"{side}_{part}" for side in "qc" for part in ("keys", "sizes", "features")]).mapInPandas(top, "key long, chunk_id string, score long")
+    ranking = Window.partitionBy("key").orderBy(F.desc("score"), "chunk_id")
+    ranked = found.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= k)
     return asked.select("question_id", "key").join(ranked, "key").select("question_id", "chunk_id", "score", "rank")
 
 
+def scored_all(questions: DataFrame, chunks: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """The best k of all chunks for each question: see ``scored``."""
+    return scored(questions, chunks, k, None, block)
+
+
 def search(questions: DataFrame, chunks: DataFrame, k: int = 10, per_query: int = 40, cap: int = 3, deep_cap: int = 25, deep: str = "gfr|store purchase|cg hindi", most: int = lexicon.CONTEXT_CHARS) -> DataFrame:
     """(question_id, rank, chunk_id, source_db, source, score, taken): the k best chunks of each question and how much of each its context takes.
 
-    Each of a question's search queries finds ``per_query`` chunks in either store, in blocks (scored_all). What
+    Each of a question's search queries finds ``per_query`` chunks in either store, in blocks (``scored``). What
     several find counts once, where it was found first; a source may give ``cap`` chunks, in the order they
     were found, or ``deep_cap`` if its name says that it is a deep one. Where the question names a rule by number,
     chunks that cite it stay, with the two after each, unless none does. Contexts are packed in reading order.
     All windows are over one question, whose rows ``per_query`` and the number of its queries bound.
     """
+    chunks = cut(chunks.select("chunk_id", "source_db", "source", "chunk_index", "page_content", "original_hindi"))  # read for features and again for what is found
     asked = questions.select("question_id", "question", F.posexplode(search_queries(F.col("question"))).alias("sub", "text"))
-    asked = asked.withColumn("_s", F.col("question_id") * 1000 + F.col("sub"))
-    hits = None
-    for place, store in enumerate(("vendor", "govt")):
-        top = scored_all(asked.select(F.col("_s").alias("question_id"), F.col("text").alias("question")), chunks.where(F.col("source_db") == store), per_query)
-        top = top.select(F.floor(F.col("question_id") / 1000).cast("long").alias("question_id"), F.struct(F.lit(place).alias("store"), (F.col("question_id") % 1000).alias("sub"), F.col("rank").alias("rank"), "chunk_id").alias("found"), "chunk_id")
-        hits = top if hits is None else hits.unionByName(top)
-    first = hits.groupBy("question_id", "chunk_id").agg(F.min("found").alias("found"))
-    held = first.join(chunks.select("chunk_id", "source_db", T.display_source(F.col("source")).alias("source"), "chunk_index", "page_content", "original_hindi"), "chunk_id")
+    both = asked.select((F.col("question_id") * 1000 + F.col("sub")).alias("question_id"), F.col("text").alias("question"), F.explode(F.array(F.lit("vendor"), F.lit("govt"))).alias("source_db"))
+    top = scored(both, chunks, per_query, "source_db").select(F.floor(F.col("question_id") / 1000).cast("long").alias("question_id"), (F.col("question_id") % 1000).alias("sub"), "rank", "chunk_id")
+    first = top.groupBy("question_id", "chunk_id").agg(F.min(F.struct("sub", "rank")).alias("f"))
+    held = first.join(chunks.withColumn("source", T.display_source(F.col("source"))), "chunk_id")
+    held = held.withColumn("found", F.struct((F.col("source_db") != "vendor").alias("store"), "f.sub", "f.rank", "chunk_id")).drop("f")
     by_source = Window.partitionBy("question_id", "source").orderBy("found")
     capped = held.withColumn("_n", F.row_number().over(by_source)).where(F.col("_n") <= F.when(F.lower("source").rlike(deep), deep_cap).otherwise(cap)).drop("_n")
     n = T.normalize_query(F.col("question"))
@@ -128,8 +126,8 @@ def search(questions: DataFrame, chunks: DataFrame, k: int = 10, per_query: int
     rules = F.concat("_qr", F.array_compact(F.transform("_qr", T.misread_rule)))
     cited = T.mentioned_rules(F.concat_ws(" ", "page_content", "original_hindi"))
     of_question = Window.partitionBy("question_id")
-    scored = capped.join(wanted, "question_id").withColumns({"score": score.cast("long"), "_hit": F.col("_digit") & F.arrays_overlap(cited, rules)})
-    matched = scored.withColumn("_hits", F.collect_set(F.when(F.col("_hit"), F.struct("source", "chunk_index"))).over(of_question))
+    rated = capped.join(wanted, "question_id").withColumns({"score": score.cast("long"), "_hit": F.col("_digit") & F.arrays_overlap(cited, rules)})
+    matched = rated.withColumn("_hits", F.collect_set(F.when(F.col("_hit"), F.struct("source", "chunk_index"))).over(of_question))
     near = F.exists("_hits", lambda h: (h["source"] == F.col("source")) & F.col("chunk_index").between(h["chunk_index"], h["chunk_index"] + 2))
     kept = matched.where((F.size("_hits") == 0) | near)
     best = kept.withColumn("rank", F.row_number().over(of_question.orderBy(F.desc("score"), "found"))).where(F.col("rank") <= k)

@@ -114,8 +114,8 @@ _SCORED = f"""(SELECT q.question_id, c.chunk_id, c.source_db, c.source, len(list
 
 @query(f"SELECT question_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM {_SCORED} QUALIFY rank <= 7")
 def retrieve_topk(spark, sf_dir):
-    questions = table(spark, sf_dir, "kpi_test_questions").where("question_id % 20 = 0").select("question_id", "question", "source_file").dropDuplicates()
-    return retrieve.scored_top(questions, _chunks(spark, sf_dir), 7).select("question_id", "chunk_id", "score", "rank")
+    questions = table(spark, sf_dir, "kpi_test_questions").where("question_id % 20 = 0").select("question_id", "question", F.col("source_file").alias("source")).dropDuplicates()
+    return retrieve.scored(questions, _chunks(spark, sf_dir), 7, "source")
 
 
 @query(f"""SELECT question_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM {_SCORED.replace('c ON c.source = q.source_file)', 'c ON true)')} QUALIFY rank <= 7""")
@@ -124,6 +124,18 @@ def retrieve_topk_all(spark, sf_dir):
     return retrieve.scored_all(questions, _chunks(spark, sf_dir), 7)
 
 
+_EDITIONS = _SCORED.replace(_Q, "(SELECT DISTINCT question_id, question, unnest([source_file, regexp_replace(source_file, '\\.pdf$', '_Hindi.pdf')]) AS source_file FROM kpi_test_questions WHERE question_id % 20 = 0)")
+
+
+@query(f"SELECT question_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM {_EDITIONS} QUALIFY rank <= 7")
+def merged_editions(spark, sf_dir):
+    """The best chunks of a question's document and of its Hindi edition, merged by score."""
+    questions = table(spark, sf_dir, "kpi_test_questions").where("question_id % 20 = 0").select("question_id", "question", "source_file").dropDuplicates()
+    both = questions.select("question_id", "question", F.explode(F.array("source_file", F.regexp_replace("source_file", r"\.pdf$", "_Hindi.pdf"))).alias("source")).distinct()
+    by = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")  # the best seven of two documents
+    return retrieve.scored(both, _chunks(spark, sf_dir), 7, "source").withColumn("rank", F.row_number().over(by)).where("rank <= 7")
+
+
 @query(f"""WITH m AS (SELECT DISTINCT source_db, source, file_path, chunk_index, chunk_id, regexp_matches(lower(page_content), '(rule|नियम) 1\\d\\d([^0-9]|$)') AS hit FROM {_LATEST})
  SELECT DISTINCT c.chunk_id FROM m c JOIN m h ON c.source_db = h.source_db AND c.source = h.source AND c.file_path = h.file_path AND c.chunk_index BETWEEN h.chunk_index AND h.chunk_index + 2 WHERE h.hit""")
 def rule_filter_continuation(spark, sf_dir):
