@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import ahocorasick
 import pandas as pd
@@ -56,12 +55,10 @@ _FULL = rf"(?:(?:{_PART}), (?:{_PART})|(?:{_PART})(?: [A-Z]\.){{0,2}} (?:{_PART}
 _INDIC_FULL = r"[ऀ-ॣ]+(?: [ऀ-ॣ]+)"
 #: Two words in capitals, which learned contexts are counted of.
 _CAPITALS = re.compile(r"[A-Z](?:[a-z]{2,}(?: [A-Z]\.){0,2} [A-Z][a-z]{2,}|[A-Z]{2,}(?:(?: [A-Z]\.){0,2} [A-Z]{3,}|, [A-Z][a-z]{2,}))(?![\w@])")
-#: Documents that contexts are learned from, at most about so many; parts and items are found in all rows.
-SAMPLE_DOCUMENTS = 20_000
-#: A context is one of names if at least this share of its capitalised pairs are known names, and if it makes up this share of all known names.
-SURE, SHARE = 0.9, 1e-4
-#: Up to so many name parts are sent to the tasks; more are joined to the words of each text.
-PARTS_SENT = 200_000
+#: A context is one of names if at least this share of its capitalised pairs are known names, and if they are at least so many, at any size of the corpus.
+SURE, LEAST = 0.9, 5
+#: Up to so many name parts and contexts are sent to the tasks; more are joined to the words and contexts of each text.
+PARTS_SENT, CONTEXTS_SENT = 200_000, 200_000
 #: Share of all texts above which an entity is hot.
 HOT = 0.001
 
@@ -78,6 +75,8 @@ _TITLED = re.compile(rf"{_TITLE}({_FULL}|{_INDIC_FULL})")
 _PLACES = r"(?:Traders|Street|Road|Lane|Avenue|Marg|Galli|Gali|Nagar|Bridge|Pvt|Ltd|Enterprises|Industries|Colony|Works|Sons|Brothers|Infra|Chowk|Para|Path|ट्रेडर्स|मार्ग|गली|नगर|रोड|चौक|पुल|सेतु|एंड|उद्योग)"
 _NOT_PERSON = re.compile(rf"^,? ?{_PLACES}")
 _ENDS_IN_PLACE = re.compile(rf"[ ,]{_PLACES}$")
+#: Left of a pair: the start of a text, a line or a sentence.
+_SAYS_NOTHING = frozenset(".?!^\n")
 _LEFT, _RIGHT = re.compile(r"(\w+|[^\w\s]|\n)[ \t]*\Z"), re.compile(r"[ \t]*(\w+|[^\w\s]|\n)")
 
 
@@ -284,43 +283,75 @@ def find_items(text: str, known: set[str] | ahocorasick.Automaton, contexts: set
     return sorted(spans)
 
 
-def name_parts(df: DataFrame, text: str, contexts: set[str], least: int = 2) -> DataFrame:
-    """(part) of introduced names, in lower case, from all rows; a part must be introduced ``least`` times."""
-    shared = df.sparkSession.sparkContext.broadcast(contexts)  # at most 1 / SHARE
+def counted_names(df: DataFrame, text: str) -> DataFrame:
+    """(context, first, last, pairs, fresh): what contexts and name parts are told by, counted over all rows in one pass.
+
+    With a context: the parts of a capitalised pair, how often it stands there, and how often no title or cue introduces
+    it too. With none: a part in ``first`` and how often titles and cues introduce it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen: Counter = Counter(p for t in batch["t"] for a, b in set(introduced_names(t, shared.value)) for p in parts_of(t[a:b]))
-            yield pd.DataFrame(list(seen.items()), columns=["part", "n"])
+            pairs, fresh = Counter(), Counter()
+            for t in batch["t"]:
+                introduced = set(introduced_names(t, frozenset()))
+                fresh.update((None, p, None) for a, b in introduced for p in parts_of(t[a:b]))
+                for m in capital_pairs(t):
+                    if _left_word(t, m.start()) in _SAYS_NOTHING or _NOT_PERSON.match(t[m.end() : m.end() + 14]):
+                        continue
+                    context = context_of(t, *m.span())
+                    if context[0] in _SAYS_NOTHING or not re.search(r"[^\W\d_]{2}", context):  # marks alone say nothing either
+                        continue
+                    key = (context, *parts_of(m[0]), None)[:3]
+                    pairs[key] += 1
+                    fresh[key] += m.span() not in introduced and not _ENDS_IN_PLACE.search(m[0])
+            yield pd.DataFrame([(*key, pairs[key], n) for key, n in fresh.items()], columns=["context", "first", "last", "pairs", "fresh"])
 
-    counted = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(run, "part string, n long")
-    return counted.groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("part")
+    counted = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(run, "context string, first string, last string, pairs long, fresh long")
+    return cut(counted.groupBy("context", "first", "last").agg(F.sum("pairs").alias("pairs"), F.sum("fresh").alias("fresh")))
 
 
-def learned_contexts(df: DataFrame, text: str, rows: int, documents: int = SAMPLE_DOCUMENTS) -> set[str]:
-    """Contexts in which capitalised pairs are names, from about ``documents`` of the ``rows`` texts, drawn by hash.
+def name_parts(counted: DataFrame, contexts: DataFrame | None = None, least: int = 2) -> DataFrame:
+    """(part) of names that titles, cues and ``contexts`` introduce, in lower case; a part must be introduced ``least`` times."""
+    parts = counted.where("context is null").select(F.col("first").alias("part"), "fresh")
+    if contexts is not None:
+        near = counted.where("context is not null and fresh > 0").join(contexts.select("context"), "context", "left_semi")
+        parts = parts.unionByName(near.select(F.explode(F.array("first", "last")).alias("part"), "fresh").where("part is not null"))
+    return parts.groupBy("part").agg(F.sum("fresh").alias("n")).where(F.col("n") >= least).select("part")
+
+
+def name_contexts(counted: DataFrame) -> DataFrame:
+    """(context, pairs): contexts in which SURE of the capitalised pairs, and LEAST of them, consist of parts that titles and cues give."""
+    known = name_parts(counted)
+    judged = counted.where("context is not null")
+    for c in ("first", "last"):
+        judged = judged.join(known.select(F.col("part").alias(c), F.lit(True).alias(f"_{c}")), c, "left")
+    name = F.col("_first").isNotNull() & (F.col("last").isNull() | F.col("_last").isNotNull())
+    sums = judged.groupBy("context").agg(F.sum("pairs").alias("pairs"), F.sum(F.when(name, F.col("pairs")).otherwise(0)).alias("names"))
+    return sums.where((F.col("names") >= SURE * F.col("pairs")) & (F.col("names") >= LEAST)).select("context", "pairs")
 
-    Names that titles and cues introduce in the sample give its name parts; a context is kept if SURE of the pairs
-    in it consist of such parts. What comes to the driver is bounded by the sample.
-    """
-    sample = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(max(1, math.ceil(rows / documents)))) == 0)
-    known = df.sparkSession.sparkContext.broadcast({r["part"] for r in name_parts(sample, "t", set()).collect()})
+
+def learned_contexts(df: DataFrame, text: str, rows: int | None = None) -> set[str]:
+    """The contexts of names of all texts, brought to the driver. All are read, so that ``rows``, their number, does not matter."""
+    return {r["context"] for r in name_contexts(counted_names(df, text)).collect()}
+
+
+def _held_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(_h, _parts): the name parts that a text holds, at most its words."""
+    words = rows.select("_h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(r"[\p{L}\x{900}-\x{963}]{3,}"), F.lit(0)))).alias("part"))
+    return words.join(parts, "part").groupBy("_h").agg(F.collect_set("part").alias("_parts"))
+
+
+def _held_contexts(rows: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(_h, _contexts): the contexts of names that a text holds, at most its capitalised pairs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs, names = Counter(), Counter()
-            for t in batch["t"]:
-                for m in capital_pairs(t):
-                    context = context_of(t, *m.span())
-                    if _NOT_PERSON.match(t[m.end() : m.end() + 14]) or context[0] in ".?!^\n" or not re.search(r"[^\W\d_]{2}", context):  # the start of a sentence and marks alone say nothing
-                        continue
-                    pairs[context] += 1
-                    names[context] += all(p in known.value for p in parts_of(m[0]))
-            yield pd.DataFrame([(c, n, names[c]) for c, n in pairs.items()], columns=["context", "pairs", "names"])
+            yield pd.DataFrame([(h, c) for h, t in zip(batch["_h"], batch["_t"]) for c in {context_of(t, *m.span()) for m in capital_pairs(t)}], columns=["_h", "context"])
 
-    counted = sample.mapInPandas(run, "context string, pairs long, names long").groupBy("context").agg(F.sum("pairs").alias("pairs"), F.sum("names").alias("names"))
-    total = counted.agg(F.coalesce(F.sum("names"), F.lit(0))).first()[0]
-    return {r["context"] for r in counted.where((F.col("names") >= SURE * F.col("pairs")) & (F.col("names") >= max(5.0, SHARE * total))).collect()}
+    stand = cut(rows.select("_h", "_t").mapInPandas(run, "_h string, context string"))
+    total = contexts.agg(F.sum("pairs")).first()[0]
+    return spread_join(stand, contexts, ["context"], F.col("pairs") >= HOT * total).groupBy("_h").agg(F.collect_set("context").alias("_contexts"))
 
 
 _FEMALE, _MALE = re.compile(r"\b(?:smt|mrs|ms|km)\.? ?$|श्रीमती ?$|सुश्री ?$|कु\. ?$", re.I), re.compile(r"\b(?:shri|sri|mr)\.? ?$|श्री ?$", re.I)
@@ -424,16 +455,22 @@ def _mentions(df: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
     kind = df.schema[key].dataType.simpleString()
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), _mark(key, text).alias("_h"), F.col(text).alias("_t"))
     total = rows.count()
-    contexts = learned_contexts(rows, "_t", total)
-    parts = cut(name_parts(rows, "_t", contexts))
+    counted = counted_names(rows, "_t")
+    contexts = cut(name_contexts(counted))
+    parts = cut(name_parts(counted, contexts))
     schema = f"_k {kind}, _h string, start int, stop int, kind string, found_text string, entity string, gender string"
-    sendable = {r["part"] for r in parts.limit(PARTS_SENT + 1).collect()}
-    few = len(sendable) <= PARTS_SENT
-    shared = df.sparkSession.sparkContext.broadcast((contexts, sendable if few else set()))
-    if not few:  # each text gets the parts that it holds
-        words = rows.select("_h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(r"[\p{L}\x{900}-\x{963}]{3,}"), F.lit(0)))).alias("part"))
-        held = words.join(parts, "part").groupBy("_h").agg(F.collect_set("part").alias("_parts"))  # at most the words of a text
-        rows = rows.join(held, "_h", "left")
+    sent_parts = {r["part"] for r in parts.limit(PARTS_SENT + 1).collect()}
+    sent_contexts = frozenset(r["context"] for r in contexts.limit(CONTEXTS_SENT + 1).collect())
+    own = []  # what is too much to send: each text gets what it holds
+    if len(sent_parts) > PARTS_SENT:
+        sent_parts = set()
+        own.append(_held_parts(rows, parts))
+    if len(sent_contexts) > CONTEXTS_SENT:
+        sent_contexts = frozenset()
+        own.append(_held_contexts(rows, contexts))
+    if own:
+        rows = rows.join(reduce(lambda a, b: a.join(b, "_h", "full"), own), "_h", "left")
+    shared = df.sparkSession.sparkContext.broadcast((sent_contexts, sent_parts))
 
     held: list = []
 
@@ -444,9 +481,9 @@ def _mentions(df: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
         sent = held[0]
         for batch in batches:
             out = []
-            own = batch["_parts"] if "_parts" in batch else [None] * len(batch)
-            for k, h, t, mine in zip(batch["_k"], batch["_h"], batch["_t"], own):
-                for a, b, what in find_items(t, sent if mine is None else set(mine), learned):
+            mine, near = (batch[c] if c in batch else [None] * len(batch) for c in ("_parts", "_contexts"))
+            for k, h, t, known, contexts in zip(batch["_k"], batch["_h"], batch["_t"], mine, near):
+                for a, b, what in find_items(t, sent if known is None else set(known), learned if contexts is None else frozenset(contexts)):
                     before = t[max(0, a - 12) : a]
                     gender = "" if what != "person_name" else "f" if _FEMALE.search(before) else "m" if _MALE.search(before) else ""
                     out.append((k, h, a, b, what, t[a:b], entity_of(what, t[a:b]), gender))

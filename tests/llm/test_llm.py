@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
@@ -494,6 +495,40 @@ def test_parts_beyond_the_limit_are_joined(spark, monkeypatch):
     assert {tuple(r) for r in personal.personal_items(df, "doc_id", "text", "k").collect()} == sent and len(sent) > 10
 
 
+def test_contexts_are_learned_from_all_texts(spark):
+    """Rare contexts in a corpus larger than any draw of it, whose names mostly stand elsewhere."""
+    names = [f"{a} {b}" for a in ("Giram", "Balran", "Sohak") for b in ("Solvant", "Dhuriyal", "Torsane")]
+    common = spark.range(60_000).select("id", F.concat(F.lit("Shri "), F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 9 + 1).cast("int")), F.lit(" came "), F.col("id")).alias("text"))
+    rare = [(60_000 + i, f"Since {n} is on leave, wait {i}.") for i, n in enumerate(names)] + [(60_009, "Since Priya Sharma is on leave, wait.")] + [(60_010 + i, f"Whether {n} may sign {i}.") for i, n in enumerate(names[:5])] + [(60_020 + i, f"Until {n} can sign {i}.") for i, n in enumerate(names[:4])]
+    df = common.unionByName(spark.createDataFrame(rare, "id long, text string")).repartition(8)
+    assert personal.learned_contexts(df, "text", 60_019) == {"shri came", "since is", "whether may"}
+    got = {r["found_text"] for r in personal.personal_items(df, "id", "text", "k").where("id >= 60000").collect()}
+    assert got == {*names, "Priya Sharma"}
+
+
+def test_counted_names_give_what_texts_give_one_by_one(spark, sf):
+    """A name that a title and a context introduce at once counts once."""
+    more = [f"Shri {a} {b} came. Since {a} {b} is on leave, wait. Since Sohak {b} is on leave, wait. Since {a} Prof is here." for a in ("Giram", "Balran", "Sohak") for b in ("Solvant", "Dhuriyal", "Torsane")] + ["Since Priya Nokt is on leave, stay. Shri Timan Gulv came."]
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("text").unionByName(spark.createDataFrame([(t,) for t in more], "text string"))
+    contexts = personal.learned_contexts(df, "text", 0)
+    seen = Counter(p for r in df.where("text is not null").collect() for a, b in set(personal.introduced_names(r["text"], contexts)) for p in personal.parts_of(r["text"][a:b]))
+    counted = personal.counted_names(df, "text")
+    parts = {r["part"] for r in personal.name_parts(counted, personal.name_contexts(counted)).collect()}
+    assert contexts >= {"since is", "shri came"} and parts == {p for p, n in seen.items() if n >= 2} and seen["nokt"] == seen["gulv"] == 1
+
+
+def test_contexts_beyond_the_limit_are_joined(spark, monkeypatch):
+    names = [f"{a} {b}" for a in ("Giram", "Balran", "Sohak") for b in ("Solvant", "Dhuriyal", "Torsane")]
+    df = spark.createDataFrame([(i, f"Shri {n} came. Since {n} is on leave, wait. Then since {n} is here, go.") for i, n in enumerate(names)] + [(9, "Since Priya Sharma is on leave, stay."), (9, "Since Priya Sharma is on leave, stay."), (10, "No name."), (11, "")], "doc_id long, text string")
+    items = lambda: sorted(tuple(r) for r in personal.personal_items(df, "doc_id", "text", "k").collect())
+    sent = items()
+    assert "Priya Sharma" in {found for _, _, found, _ in sent}
+    monkeypatch.setattr(personal, "CONTEXTS_SENT", 0)
+    assert items() == sent
+    monkeypatch.setattr(personal, "PARTS_SENT", 0)
+    assert items() == sent
+
+
 def test_personal_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "write to a_b9@x.test"), (3, "write to a_b9@x.test, a_b9@x.test"), (3, "write to a_b9@x.test, a_b9@x.test")], "doc_id long, text string").withColumn("kind", F.lit("clash"))
     assert sorted((str(r["doc_id"]), r["kind"], r["found_text"]) for r in personal.personal_items(df, "doc_id", "text", "k").collect()) == [("3", "email", "a_b9@x.test"), ("None", "email", "a_b9@x.test")]
